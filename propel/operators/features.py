@@ -304,7 +304,7 @@ def weighted_target_rule(claim="had_claim_60d", renewal="renewal_in_30_days", ow
 
 
 def rfm_customer_features(customers: DataFrame, transactions: DataFrame, services: DataFrame,
-                          claims: DataFrame, lost: DataFrame, as_of) -> DataFrame:
+                          claims: DataFrame, lost: DataFrame, as_of, keep: Sequence[str] = ()) -> DataFrame:
     """The 17-column feature matrix with the staged fill of the batch pipeline.
 
     Stage fills (kept from the reference): after the RFM join every missing
@@ -335,7 +335,7 @@ def rfm_customer_features(customers: DataFrame, transactions: DataFrame, service
     else:
         target = weighted_target_rule()
     df = df.withColumn("target", target)
-    return df.select("customer_id", "target", *FEATURE_COLUMNS)
+    return df.select("customer_id", "target", *FEATURE_COLUMNS, *keep)
 
 
 def rfm_customer_features_zero(customers: DataFrame, as_of, transactions: DataFrame | None = None,

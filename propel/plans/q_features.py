@@ -250,7 +250,8 @@ def q_lost_quotation_agg(t):
     return ft.lost_quotation_agg(t.lost_quotations())
 
 
-def _rfm_matrix_sql(staged: bool = True) -> str:
+def _rfm_matrix_sql(staged: bool = True, engagement: str = "0.5", extra_ctes: str = "",
+                    extra_join: str = "") -> str:
     big = 9999
     if staged:  # substring test on the comma text
         owns = ", ".join(f"coalesce(CAST(contains(c.products_owned_str, '{p}') AS INT), 0) AS owns_{p}"
@@ -276,17 +277,17 @@ s AS (SELECT customer_id, {DAYS(f"TIMESTAMP '{AS_OF}'", 'max(last_service_date)'
 cl AS (SELECT customer_id,
               CAST({DAYS(f"TIMESTAMP '{AS_OF}'", 'max(last_claim_date)')} <= 60 AS INT) AS had_claim_60d
        FROM claims GROUP BY customer_id),
-l AS (SELECT customer_id, count(*) AS lost_quotation_count FROM lost_quotations GROUP BY customer_id),
+l AS (SELECT customer_id, count(*) AS lost_quotation_count FROM lost_quotations GROUP BY customer_id),{extra_ctes}
 x AS (
   SELECT c.customer_id, {rec} AS recency_days, {freq} AS frequency, {mon} AS monetary, {ten} AS tenure_days,
          CASE WHEN c.products_owned_str IS NULL THEN 1 ELSE len(string_split(c.products_owned_str, ',')) END
            AS num_products,
-         0.5 AS engagement_score, {svc} AS days_since_service, coalesce(cl.had_claim_60d, 0) AS had_claim_60d,
+         {engagement} AS engagement_score, {svc} AS days_since_service, coalesce(cl.had_claim_60d, 0) AS had_claim_60d,
          CAST(c.renewal_in_30_days AS INT) AS renewal_in_30_days,
          coalesce(l.lost_quotation_count, 0) AS lost_quotation_count,
          {owns}
-         c.age, c.income
-  FROM customers c LEFT JOIN r ON c.customer_id = r.customer_id
+         c.age, c.income, c.name, c.region, c.products_owned_str
+  FROM customers c LEFT JOIN r ON c.customer_id = r.customer_id{extra_join}
   LEFT JOIN s ON c.customer_id = s.customer_id LEFT JOIN cl ON c.customer_id = cl.customer_id
   LEFT JOIN l ON c.customer_id = l.customer_id)
 """
