@@ -29,20 +29,23 @@ def range_bucket(df: DataFrame, order_col: str, buckets: int = 256, out: str = "
 
 
 def running_sums(df: DataFrame, order: Sequence[str], values: Sequence[str], buckets: int = 256,
-                 inclusive: bool = True, prefix: str = "cum_") -> DataFrame:
+                 inclusive: bool = True, prefix: str = "cum_", group: Sequence[str] = ()) -> DataFrame:
     """Add ``cum_<v>`` = sum of v over all rows ordered before (and, if inclusive,
-    including) each row under the total order ``order`` (make it unique)."""
+    including) each row under the total order ``order`` (make it unique),
+    separately per ``group`` when given."""
+    g = list(group)
     b = range_bucket(df, order[0], buckets)
-    w = Window.partitionBy("_bucket").orderBy(*order)
+    w = Window.partitionBy(*g, "_bucket").orderBy(*order)
     frame = w.rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
     for v in values:
         b = b.withColumn(f"_in_{v}", F.coalesce(F.sum(v).over(frame), F.lit(0)))
-    tot = b.groupBy("_bucket").agg(*[F.sum(v).alias(f"_t_{v}") for v in values])
-    # at most buckets + 1 rows: a global window here is a tiny single task
-    wt = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    tot = tot.select("_bucket", *[F.coalesce(F.sum(f"_t_{v}").over(wt), F.lit(0)).alias(f"_off_{v}")
-                                  for v in values])
-    j = b.join(F.broadcast(tot), "_bucket")
+    tot = b.groupBy(*g, "_bucket").agg(*[F.sum(v).alias(f"_t_{v}") for v in values])
+    # at most buckets + 1 rows per group: the window over them is tiny
+    wt = Window.partitionBy(*g).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    tot = tot.select(*g, "_bucket", *[F.coalesce(F.sum(f"_t_{v}").over(wt), F.lit(0)).alias(f"_off_{v}")
+                                      for v in values])
+    # without groups the totals table is bounded by ``buckets``: broadcast it
+    j = b.join(F.broadcast(tot) if not g else tot, [*g, "_bucket"])
     for v in values:
         j = j.withColumn(f"{prefix}{v}", F.col(f"_in_{v}") + F.col(f"_off_{v}"))
     return j.drop("_bucket", *[f"_in_{v}" for v in values], *[f"_off_{v}" for v in values])

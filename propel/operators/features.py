@@ -225,7 +225,8 @@ def readiness_segment(score_col: str = "cross_sell_readiness"):
 def quantile_label(df: DataFrame, col: str = "cross_sell_propensity", q: float = 0.7,
                    out: str = "target") -> DataFrame:
     """1 when col >= its exact q-quantile (linear interpolation), else 0."""
-    g = df.agg(F.percentile(col, q).alias("_q"))
+    from propel.functions.quantile import quantile
+    g = quantile(df, col, q, alias="_q")  # one row, exact, distributed
     return (df.crossJoin(F.broadcast(g))
             .withColumn(out, (F.col(col) >= F.col("_q")).cast("int")).drop("_q"))
 
