@@ -114,8 +114,8 @@ def classify_rating_lines(lines: DataFrame, text_col: str = "value") -> DataFram
     """Label every raw line: blank, header, bad_header, ok, bad_fields, bad_number, bad_rating."""
     s = F.trim(F.col(text_col))
     parts = F.split(s, ",", -1)
-    user = F.element_at(parts, 1).try_cast("int")
-    rating = F.element_at(parts, 2).try_cast("int")
+    user = F.try_element_at(parts, F.lit(1)).try_cast("int")
+    rating = F.try_element_at(parts, F.lit(2)).try_cast("int")
     kind = (F.when(s == "", "blank")
             .when(s.endswith(":"), F.when(F.regexp_extract(s, r"^(.*):$", 1).try_cast("int").isNotNull(), "header")
                   .otherwise("bad_header"))
