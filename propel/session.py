@@ -76,3 +76,10 @@ def unique_dir(spark: SparkSession, name: str) -> str:
     """A fresh sub-folder of :func:`shared_dir` for one run (never reused)."""
     import uuid
     return shared_dir(spark, f"{name}-{uuid.uuid4().hex[:12]}")
+
+
+def materialize(df):
+    """Cut lineage with a reliable checkpoint into the shared checkpoint dir
+    (survives executor loss, unlike a local checkpoint)."""
+    shared_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
