@@ -71,20 +71,32 @@ def user_rating_agg(ratings: DataFrame) -> DataFrame:
         F.max(ts("date")).alias("last_rating_date"))
 
 
-def rating_features(ratings: DataFrame) -> DataFrame:
-    """The 15-column rating feature set (reference instant = newest rating)."""
+def rating_features(ratings: DataFrame, materialize_users: bool = True) -> DataFrame:
+    """The 15-column rating feature set (reference instant = newest rating).
+
+    The per-user aggregate is the only pass over the ratings. It is
+    checkpointed (reliably, into the shared checkpoint dir) so the global
+    maxima below read the small user table instead of recomputing the
+    ratings scan, join and shuffle once per maximum.
+    """
     u = user_rating_agg(ratings)
     u = (u.withColumn("std_rating", F.coalesce("std_rating", F.lit(0.0)))
-         .withColumn("tenure_days", elapsed_days("last_rating_date", "first_rating_date")))
-    u = with_global(u, _ref=F.max("last_rating_date"))
+         .withColumn("tenure_days", elapsed_days("last_rating_date", "first_rating_date"))
+         .withColumn("_tenure", F.greatest("tenure_days", F.lit(1))))
+    if materialize_users:
+        from propel.session import materialize
+        u = materialize(u)
+    # every global in one one-row aggregate (floor is monotone, so the largest
+    # recency is the one of the oldest last rating)
+    g = u.agg(F.max("last_rating_date").alias("_ref"), F.min("last_rating_date").alias("_oldest_last"),
+              F.max("total_ratings").alias("_max_total"), F.max("_tenure").alias("_max_ten"))
+    g = g.withColumn("_max_rec", elapsed_days("_ref", "_oldest_last"))
+    u = u.crossJoin(F.broadcast(g))
     u = u.withColumn("recency_days", elapsed_days("_ref", "last_rating_date"))
-    u = (u.withColumn("_tenure", F.greatest("tenure_days", F.lit(1)))
-         .withColumn("rating_velocity", F.col("total_ratings") / (F.col("_tenure") + 1))
+    u = (u.withColumn("rating_velocity", F.col("total_ratings") / (F.col("_tenure") + 1))
          .withColumn("is_active_6m", (F.col("recency_days") <= ACTIVE_6M_DAYS).cast("int"))
          .withColumn("is_active_1y", (F.col("recency_days") <= ACTIVE_1Y_DAYS).cast("int"))
          .withColumn("rating_consistency", 1.0 / (1.0 + F.col("std_rating"))))
-    u = with_global(u, _max_total=F.max("total_ratings"), _max_rec=F.max("recency_days"),
-                    _max_ten=F.max("_tenure"))
     comps = [safe_div("total_ratings", "_max_total"),
              1.0 - safe_div("recency_days", "_max_rec"),
              F.col("mean_rating") / 5.0,

@@ -78,8 +78,15 @@ def unique_dir(spark: SparkSession, name: str) -> str:
     return shared_dir(spark, f"{name}-{uuid.uuid4().hex[:12]}")
 
 
-def materialize(df):
-    """Cut lineage with a reliable checkpoint into the shared checkpoint dir
-    (survives executor loss, unlike a local checkpoint)."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def materialize(df, how: str = "checkpoint"):
+    """Cut lineage at ``df``: write it as a parquet table in a fresh folder of the
+    shared checkpoint dir and read it back (``how="table"``), or use a reliable
+    ``checkpoint()`` (``how="checkpoint"``). Both survive executor loss, unlike
+    a local checkpoint or a cache."""
+    spark = df.sparkSession
+    if how == "checkpoint":
+        shared_dir(spark)
+        return df.checkpoint(eager=True)
+    path = unique_dir(spark, "mat")
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
