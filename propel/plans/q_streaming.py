@@ -102,8 +102,8 @@ def _quantile_sql(qs=(0.5, 0.95, 0.99)):
         name = f"p{int(round(q * 100))}"
         parts.append(f"""{name}t AS (
   SELECT endpoint, arg_min(CASE WHEN le = 'inf'::DOUBLE THEN prev_le
-         ELSE prev_le + (le - prev_le) * (total * {q} - prev_c) / (cumulative_count - prev_c) END, le) AS {name}
-  FROM h2 WHERE cumulative_count >= total * {q} AND total > 0 GROUP BY endpoint)""")
+         ELSE prev_le + (le - prev_le) * (total * CAST({q} AS DOUBLE) - prev_c) / (cumulative_count - prev_c) END, le) AS {name}
+  FROM h2 WHERE cumulative_count >= total * CAST({q} AS DOUBLE) AND total > 0 GROUP BY endpoint)""")
     sel = ", ".join(R(f"p{int(round(q * 100))}", f"p{int(round(q * 100))}") for q in qs)
     joins = " ".join(f"JOIN p{int(round(q * 100))}t USING (endpoint)" for q in qs[1:])
     return f"""

@@ -123,13 +123,13 @@ def throttle_label_stream(stream: DataFrame, key: str = "client", ts_col: str =
     out_schema = f"{key} {dict(x.dtypes)[key]}, {order} {dict(x.dtypes)[order]}, {ts_col} timestamp, allowed boolean"
 
     def fn(k, pdfs, state: GroupState):
-        allowed = deque(state.get[0] if state.exists else [])
+        allowed = deque(int(v) for v in state.get[0]) if state.exists else deque()
         for pdf in pdfs:
             pdf = pdf.sort_values([ts_col, order])
             st = {k[0]: allowed}
             pdf["allowed"] = _throttle_rows(np.full(len(pdf), k[0]), _micros(pdf[ts_col]), limit, window_us, st)
             allowed = st[k[0]]
-            state.update((list(allowed),))
+            state.update(([int(v) for v in allowed],))
             yield pdf[cols + ["allowed"]]
     return x.groupBy(key).applyInPandasWithState(fn, out_schema, "allowed array<bigint>", "append",
                                                  GroupStateTimeout.NoTimeout)
