@@ -27,7 +27,7 @@ def build_session(master: str | None = None, shuffle_partitions: int = 8,
          .config("spark.ui.enabled", "false")
          .config("spark.ui.showConsoleProgress", "false")
          .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
-         .config("spark.driver.memory", os.environ.get("PROPEL_DRIVER_MEM", "8g"))
+         .config("spark.driver.memory", os.environ.get("PROPEL_DRIVER_MEM", "4g"))
          .config("spark.sql.execution.arrow.pyspark.enabled", "true")
          .config("spark.sql.autoBroadcastJoinThreshold", str(32 * 1024 * 1024)))
     for k, v in {**REQUIRED_CONF, **(extra or {})}.items():
