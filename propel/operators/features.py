@@ -139,9 +139,10 @@ def title_category_flags(movies: DataFrame, patterns: dict[str, str] | None = No
 
 
 def ratings_with_category(ratings: DataFrame, flags: DataFrame) -> DataFrame:
-    """Ratings left-joined to title flags. The title table is broadcast: it is a
-    dimension (one row per title), bounded by the catalogue, not by ratings."""
-    return ratings.join(F.broadcast(flags), "movie_id", "left")
+    """Ratings left-joined to title flags. No broadcast hint: the title table has
+    no proven size bound, so AQE broadcasts it at runtime only when its measured
+    size is under the broadcast threshold, and otherwise keeps a shuffle join."""
+    return ratings.join(flags, "movie_id", "left")
 
 
 def category_preference(ratings: DataFrame, flags: DataFrame,

@@ -24,7 +24,8 @@ RATINGS_OUT = f"SELECT user_id, movie_id, rating, {TS('date', 'date')} FROM rati
 
 @query("src_rating_blocks", RATINGS_OUT)
 def q_src_rating_blocks(t):
-    path = fs.write_rating_blocks(t.ratings(), unique_dir(t.spark, "blocks"), files=4)
+    # salted blocks: a movie may be split over several files (repeated headers)
+    path = fs.write_rating_blocks(t.ratings(), unique_dir(t.spark, "blocks"), files=4, salts=4)
     return fs.read_rating_blocks(t.spark, path)
 
 

@@ -19,23 +19,27 @@ LATIN1 = "ISO-8859-1"
 
 
 # ---- header-block rating text ------------------------------------------------------
-def rating_block_lines(ratings: DataFrame) -> DataFrame:
-    """Ratings as header-block lines (``movie_id:`` then ``user,rating,date``),
-    one sort key per line so a sorted write keeps blocks whole."""
-    heads = ratings.select("movie_id").distinct().select(
-        "movie_id", F.lit(0).alias("_k"), F.lit(None).cast("int").alias("_u"),
+def rating_block_lines(ratings: DataFrame, salts: int = 1) -> DataFrame:
+    """Ratings as header-block lines (``movie_id:`` then ``user,rating,date``).
+
+    With ``salts`` > 1 a movie's ratings are cut into that many blocks (by a
+    hash of the user), each with its own header, so one very popular movie is
+    written by several tasks; readers see ordinary repeated blocks."""
+    r = ratings.withColumn("_s", (F.xxhash64("user_id") % salts + salts) % salts if salts > 1 else F.lit(0))
+    heads = r.select("movie_id", "_s").distinct().select(
+        "movie_id", "_s", F.lit(0).alias("_k"), F.lit(None).cast("int").alias("_u"),
         F.lit(None).cast("timestamp").alias("_d"), F.concat(F.col("movie_id").cast("string"), F.lit(":")).alias("value"))
-    rows = ratings.select(
-        "movie_id", F.lit(1).alias("_k"), F.col("user_id").cast("int").alias("_u"), F.col("date").alias("_d"),
+    rows = r.select(
+        "movie_id", "_s", F.lit(1).alias("_k"), F.col("user_id").cast("int").alias("_u"), F.col("date").alias("_d"),
         F.concat_ws(",", F.col("user_id").cast("string"), F.col("rating").cast("string"),
                     F.date_format("date", "yyyy-MM-dd")).alias("value"))
     return heads.unionByName(rows)
 
 
-def write_rating_blocks(ratings: DataFrame, path: str, files: int = 4) -> str:
-    """Write blocks to ``files`` text files; each movie's block lives in one file."""
-    lines = rating_block_lines(ratings)
-    (lines.repartition(files, "movie_id").sortWithinPartitions("movie_id", "_k", "_u", "_d")
+def write_rating_blocks(ratings: DataFrame, path: str, files: int = 4, salts: int = 1) -> str:
+    """Write blocks to ``files`` text files; each (movie, salt) block lives in one file."""
+    lines = rating_block_lines(ratings, salts)
+    (lines.repartition(files, "movie_id", "_s").sortWithinPartitions("movie_id", "_s", "_k", "_u", "_d")
      .select("value").write.mode("overwrite").text(path))
     return path
 
