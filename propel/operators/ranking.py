@@ -35,7 +35,7 @@ def topk_per_group(df: DataFrame, group: Sequence[str], order: Sequence, k: int,
                    rank_col: str = "rank") -> DataFrame:
     """Rows ranked 1..k inside each group (ties broken by the order list, R5)."""
     w = Window.partitionBy(*group).orderBy(*order_cols(order))
-    return df.withColumn(rank_col, F.row_number().over(w)).where(F.col(rank_col) <= k)
+    return df.withColumn(rank_col, F.row_number().over(w).cast("long")).where(F.col(rank_col) <= k)
 
 
 def global_topk(df: DataFrame, order: Sequence, k: int, rank_col: str | None = "rank") -> DataFrame:
@@ -43,7 +43,7 @@ def global_topk(df: DataFrame, order: Sequence, k: int, rank_col: str | None = "
     top = df.orderBy(*order_cols(order)).limit(k)
     if rank_col is None:
         return top
-    return top.withColumn(rank_col, F.row_number().over(Window.orderBy(*order_cols(order))))
+    return top.withColumn(rank_col, F.row_number().over(Window.orderBy(*order_cols(order))).cast("long"))
 
 
 def latest_per_key(df: DataFrame, key: str, order: Sequence[str], cols: Sequence[str]) -> DataFrame:

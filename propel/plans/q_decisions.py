@@ -135,7 +135,7 @@ def _model_input_sql():
     return on_profile(f"""
 SELECT customer_id, {d('recency_days', 9999)}, {d('frequency', 0)}, {R(f"CASE WHEN {falsy_sql('monetary')} THEN 0 ELSE monetary END", 'monetary')},
   {d('tenure_days', 0)},
-  CASE WHEN products_owned_str IS NOT NULL AND len({arr}) > 0 THEN len({arr}) ELSE 1 END AS num_products,
+  CASE WHEN products_owned_str IS NOT NULL AND len({arr}) > 0 THEN CAST(len({arr}) AS INTEGER) ELSE 1 END AS num_products,
   {R(f"CASE WHEN {falsy_sql('engagement_score')} THEN 0.5 ELSE engagement_score END", 'engagement_score')},
   {d('days_since_service', 9999)},
   CAST(NOT {falsy_sql('had_claim_60d')} AS INT) AS had_claim_60d,

@@ -280,7 +280,7 @@ cl AS (SELECT customer_id,
 l AS (SELECT customer_id, count(*) AS lost_quotation_count FROM lost_quotations GROUP BY customer_id),{extra_ctes}
 x AS (
   SELECT c.customer_id, {rec} AS recency_days, {freq} AS frequency, {mon} AS monetary, {ten} AS tenure_days,
-         CASE WHEN c.products_owned_str IS NULL THEN 1 ELSE len(string_split(c.products_owned_str, ',')) END
+         CASE WHEN c.products_owned_str IS NULL THEN 1 ELSE CAST(len(string_split(c.products_owned_str, ',')) AS INTEGER) END
            AS num_products,
          {engagement} AS engagement_score, {svc} AS days_since_service, coalesce(cl.had_claim_60d, 0) AS had_claim_60d,
          CAST(c.renewal_in_30_days AS INT) AS renewal_in_30_days,
@@ -334,7 +334,7 @@ SELECT customer_id,
   coalesce(CAST(contains(products_owned_str, 'A') AS INT), 0) AS owns_A,
   coalesce(CAST(contains(products_owned_str, 'B') AS INT), 0) AS owns_B,
   coalesce(CAST(contains(products_owned_str, 'C') AS INT), 0) AS owns_C,
-  CASE WHEN products_owned_str IS NULL THEN 1 ELSE len(string_split(products_owned_str, ',')) END AS num_products
+  CASE WHEN products_owned_str IS NULL THEN 1 ELSE CAST(len(string_split(products_owned_str, ',')) AS INTEGER) END AS num_products
 FROM customers""")
 def q_product_flags_text(t):
     return t.customers().select("customer_id", *ft.product_flags_text("products_owned_str"))
@@ -345,7 +345,7 @@ SELECT customer_id,
   CASE WHEN products_owned_str IS NULL THEN 0 ELSE CAST(list_contains(string_split(products_owned_str, ','), 'A') AS INT) END AS owns_A,
   CASE WHEN products_owned_str IS NULL THEN 0 ELSE CAST(list_contains(string_split(products_owned_str, ','), 'B') AS INT) END AS owns_B,
   CASE WHEN products_owned_str IS NULL THEN 0 ELSE CAST(list_contains(string_split(products_owned_str, ','), 'C') AS INT) END AS owns_C,
-  CASE WHEN products_owned_str IS NULL THEN 1 ELSE len(string_split(products_owned_str, ',')) END AS num_products
+  CASE WHEN products_owned_str IS NULL THEN 1 ELSE CAST(len(string_split(products_owned_str, ',')) AS INTEGER) END AS num_products
 FROM customers""")
 def q_product_flags_array(t):
     c = t.customers().withColumn("products_owned", F.split("products_owned_str", ","))

@@ -406,7 +406,7 @@ WITH g AS (SELECT CAST({score} AS DOUBLE) AS s, count_if(label = 1) AS pos, coun
            WHERE {score} IS NOT NULL AND label IS NOT NULL GROUP BY 1),
 c AS (SELECT *, coalesce(sum(neg) OVER (ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM g)
 SELECT {R('sum(pos * (below + 0.5 * neg)) / nullif(CAST(sum(pos) AS DOUBLE) * sum(neg), 0)', 'auc')},
-       sum(pos) AS positives, sum(neg) AS negatives FROM c"""
+       CAST(sum(pos) AS BIGINT) AS positives, CAST(sum(neg) AS BIGINT) AS negatives FROM c"""
 
 
 @query("auc_roc", _auc_sql())

@@ -45,11 +45,28 @@ def query(key: str, sql: str | None = None, raw: bool = False, **extra_ctes: str
         run.__doc__ = fn.__doc__
         QUERIES[key] = run
         if sql is not None:
-            ORACLE[key] = with_views(sql, **extra_ctes)
+            ORACLE[key] = bigint_counts(with_views(sql, **extra_ctes))
         return fn
     return deco
 
 
+def bigint_counts(sql: str) -> str:
+    """DuckDB types ``count_if`` as HUGEINT; Spark's ``count_if`` is BIGINT.
+    Wrap every ``count_if(...)`` call in a BIGINT cast (matching parentheses)."""
+    out, i, tok = [], 0, "count_if("
+    while True:
+        j = sql.find(tok, i)
+        if j < 0:
+            out.append(sql[i:])
+            return "".join(out)
+        depth, k = 1, j + len(tok)
+        while depth and k < len(sql):
+            depth += {"(": 1, ")": -1}.get(sql[k], 0)
+            k += 1
+        out.append(sql[i:j] + "CAST(" + sql[j:k] + " AS BIGINT)")
+        i = k
+
+
 def R(expr: str, alias: str, places: int = 6) -> str:
     """SQL side of :func:`finish` for a double column."""
     return f"round(CAST({expr} AS DOUBLE), {places}) + 0.0 AS {alias}"

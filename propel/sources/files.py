@@ -56,7 +56,7 @@ def read_rating_blocks(spark: SparkSession, path: str) -> DataFrame:
         F.col("_metadata.file_block_start").alias("_split"),
         F.monotonically_increasing_id().alias("_rid"))
     s = F.trim("value")
-    head = F.when(s.endswith(":"), F.regexp_extract(s, r"^(.*):$", 1).try_cast("int"))
+    head = F.when(s.endswith(":"), F.regexp_extract(s, r"^(.*):$", 1).try_cast("bigint"))
     x = raw.withColumn("_head", head)
     # header in force inside the split (rows of one split are read in order by one task)
     w = Window.partitionBy("_file", "_split").orderBy("_rid").rowsBetween(Window.unboundedPreceding, 0)
@@ -70,8 +70,8 @@ def read_rating_blocks(spark: SparkSession, path: str) -> DataFrame:
     x = x.join(carry, ["_file", "_split"], "left")
     parts = F.split(s, ",", -1)
     out = x.where(F.col("_head").isNull() & (F.size(parts) == 3)).select(
-        F.try_element_at(parts, F.lit(1)).try_cast("int").alias("user_id"),
-        F.coalesce("_in_split", "_carry").alias("movie_id"),
+        F.try_element_at(parts, F.lit(1)).try_cast("bigint").alias("user_id"),
+        F.coalesce("_in_split", "_carry").cast("bigint").alias("movie_id"),
         F.try_element_at(parts, F.lit(2)).try_cast("int").alias("rating"),
         F.to_timestamp(F.trim(F.try_element_at(parts, F.lit(3))), "yyyy-MM-dd").alias("date"))
     return out.where(F.col("user_id").isNotNull() & F.col("rating").isNotNull() & F.col("date").isNotNull())

@@ -36,6 +36,10 @@ def test_entry_smoke(spark):
     assert "cross_sell_propensity" in df.columns
 
 
+SPARK_TO_DUCK = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR",
+                 "boolean": "BOOLEAN"}
+
+
 @pytest.mark.parametrize("key", KEYS)
 def test_oracle(spark, duck, key):
     df = E.queries()[key](spark, SF_SMALL)
@@ -43,5 +47,9 @@ def test_oracle(spark, duck, key):
     rel = duck.sql(ORACLE[key])
     d_cols, d_rows = rel.columns, rel.fetchall()
     assert sorted(s_cols) == sorted(d_cols)
+    d_types = {c: str(t) for c, t in zip(d_cols, rel.types)}
+    for f in df.schema.fields:
+        st = f.dataType.simpleString()
+        assert SPARK_TO_DUCK.get(st, st) == d_types[f.name], (f.name, st, d_types[f.name])
     assert len(s_rows) == len(d_rows)
     assert _rows(s_cols, s_rows) == _rows(d_cols, d_rows)
