@@ -158,7 +158,7 @@ def _evals(t):
     return lat.unionByName(err)
 
 
-@query("alert_sustained", f"""
+ALERT_SUSTAINED_SQL = f"""
 WITH ev AS (
   SELECT 'HighAPIResponseTime' AS rule, window_end, avg(duration_seconds) > {mt.LATENCY_WARN} AS condition
   FROM {W} GROUP BY window_end
@@ -170,7 +170,10 @@ s AS (SELECT *, min(CASE WHEN condition THEN window_end END) OVER (PARTITION BY
 SELECT rule, {TS('window_end', 'window_end')}, condition,
   coalesce(condition AND epoch_us(window_end) - epoch_us(since) >= {SUSTAIN_S * 1_000_000}, false) AS firing,
   {TS('CASE WHEN condition THEN since END', 'active_since')}
-FROM s""")
+FROM s"""
+
+
+@query("alert_sustained", ALERT_SUSTAINED_SQL)
 def q_alert_sustained(t):
     return mt.alert_sustained(_evals(t), for_seconds=SUSTAIN_S)
 
@@ -294,3 +297,33 @@ def q_request_rate_stream(t):
     stream = mt.with_event_time(rn.read_stream(spark, src, r.schema), watermark=WATERMARK)
     sink = rn.run_available_now(mt.request_rate(stream, SIZE, SLIDE), spark, "request-rate")
     return spark.read.parquet(sink)
+
+
+@query("alert_sustained_stream", ALERT_SUSTAINED_SQL)
+def q_alert_sustained_stream(t):
+    """Stream form of alert_sustained: the evaluations are replayed as a file
+    stream and labelled by per-rule state."""
+    spark = t.spark
+    ev = _evals(t).withColumn("window_end", F.col("window_end").cast("timestamp"))
+    src = rn.stage_files(ev, unique_dir(spark, "evals-src"), "window_end", parts=4)
+    stream = rn.read_stream(spark, src, ev.schema)
+    sink = rn.run_available_now(sf.alert_sustained_stream(stream, for_seconds=SUSTAIN_S), spark, "sustained")
+    return spark.read.parquet(sink).select("rule", F.col("at").alias("window_end"), "condition", "firing",
+                                           "active_since")
+
+
+@query("metrics_absent_stream", f"""
+WITH e AS (SELECT client AS source, CAST(ts AS TIMESTAMP) AS t FROM request_log),
+p AS (SELECT source, t AS silent_from, lead(t) OVER (PARTITION BY source ORDER BY t) AS silent_until FROM e)
+SELECT source, {TS('silent_from', 'silent_from')}, {TS('silent_until', 'silent_until')},
+  {R('(epoch_us(silent_until) - epoch_us(silent_from)) / 1e6', 'gap_seconds')}
+FROM p WHERE silent_until IS NOT NULL AND (epoch_us(silent_until) - epoch_us(silent_from)) / 1e6 > {ABSENT_GAP}""")
+def q_metrics_absent_stream(t):
+    """Stream form of metrics_absent: closed silences between events, from
+    per-source state (open silences at the end of the stream are not compared)."""
+    spark = t.spark
+    r = t.request_log().select("client", F.col("ts").cast("timestamp").alias("ts"))
+    src = rn.stage_files(r, unique_dir(spark, "absent-src"), "ts", parts=4)
+    stream = mt.with_event_time(rn.read_stream(spark, src, r.schema), watermark="1 hour")
+    sink = rn.run_available_now(sf.metrics_absent_stream(stream, gap_seconds=ABSENT_GAP), spark, "absent")
+    return spark.read.parquet(sink).where(F.col("silent_until").isNotNull())

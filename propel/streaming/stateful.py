@@ -125,7 +125,7 @@ def throttle_label_stream(stream: DataFrame, key: str = "client", ts_col: str =
     def fn(k, pdfs, state: GroupState):
         allowed = deque(int(v) for v in state.get[0]) if state.exists else deque()
         for pdf in pdfs:
-            pdf = pdf.sort_values([ts_col, order])
+            pdf = pdf.sort_values([ts_col, order]).reset_index(drop=True)
             st = {k[0]: allowed}
             pdf["allowed"] = _throttle_rows(np.full(len(pdf), k[0]), _micros(pdf[ts_col]), limit, window_us, st)
             allowed = st[k[0]]
@@ -145,10 +145,82 @@ def ttl_cache_label_stream(stream: DataFrame, key: str = "client", ts_col: str =
     def fn(k, pdfs, state: GroupState):
         st = {k[0]: state.get[0]} if state.exists else {}
         for pdf in pdfs:
-            pdf = pdf.sort_values([ts_col, order])
+            pdf = pdf.sort_values([ts_col, order]).reset_index(drop=True)
             pdf["cache_hit"] = _ttl_rows(np.full(len(pdf), k[0]), _micros(pdf[ts_col]), ttl_us, st)
             if k[0] in st:
                 state.update((int(st[k[0]]),))
             yield pdf[cols + ["cache_hit"]]
     return x.groupBy(key).applyInPandasWithState(fn, out_schema, "miss_at bigint", "append",
                                                  GroupStateTimeout.NoTimeout)
+
+
+# ---- streaming forms of the alert operators -------------------------------------------
+def alert_sustained_stream(evals: DataFrame, rule: str = "rule", at: str = "window_end", cond: str = "condition",
+                           for_seconds: float = 300) -> DataFrame:
+    """Per-rule state (start of the current true run) across micro-batches: a
+    rule fires once its condition has held for ``for_seconds``. Same rows as the
+    batch gaps-and-islands form over the same evaluations."""
+    for_us = int(for_seconds * 1e6)
+    x = evals.select(F.col(rule).alias("rule"), ts(at).alias("at"), F.col(cond).alias("condition"))
+    out_schema = "rule string, at timestamp, condition boolean, firing boolean, active_since timestamp"
+
+    def fn(k, pdfs, state: GroupState):
+        since = state.get[0] if state.exists else None
+        for pdf in pdfs:
+            pdf = pdf.sort_values("at").reset_index(drop=True)
+            t = _micros(pdf["at"])
+            firing, active = [], []
+            for ti, c in zip(t, pdf["condition"].to_numpy()):
+                if c:
+                    since = ti if since is None else since
+                    firing.append(ti - since >= for_us)
+                    active.append(since)
+                else:
+                    since = None
+                    firing.append(False)
+                    active.append(None)
+            pdf["firing"] = firing
+            pdf["active_since"] = pd.to_datetime(pd.Series(active, dtype="float64"), unit="us")
+            state.update((None if since is None else int(since),))
+            yield pdf[["rule", "at", "condition", "firing", "active_since"]]
+    return x.groupBy("rule").applyInPandasWithState(fn, out_schema, "since bigint", "append",
+                                                    GroupStateTimeout.NoTimeout)
+
+
+def metrics_absent_stream(events: DataFrame, source: str = "client", ts_col: str = "ts",
+                          gap_seconds: float = 600.0) -> DataFrame:
+    """Per-source state (time of the last event): each new event that comes more
+    than ``gap_seconds`` after the previous one closes a silence row. With a
+    watermark on ``ts_col``, a source still silent when the watermark passes
+    ``last + gap`` emits an open row (``silent_until`` NULL) through an
+    event-time timeout."""
+    gap_us = int(gap_seconds * 1e6)
+    t_col = F.col(ts_col) if dict(events.dtypes)[ts_col] == "timestamp" else ts(ts_col)  # keep the watermark
+    x = events.select(F.col(source).alias("source"), t_col.alias("t"))
+    out_schema = "source bigint, silent_from timestamp, silent_until timestamp, gap_seconds double"
+
+    def fn(k, pdfs, state: GroupState):
+        if state.hasTimedOut:
+            last = state.get[0]
+            state.remove()
+            yield pd.DataFrame({"source": [k[0]], "silent_from": pd.to_datetime([last], unit="us"),
+                                "silent_until": pd.to_datetime([None]), "gap_seconds": [None]})
+            return
+        last = state.get[0] if state.exists else None
+        rows = []
+        for pdf in pdfs:
+            for ti in np.sort(_micros(pdf["t"])):
+                if last is not None and ti - last > gap_us:
+                    rows.append((k[0], last, ti, (ti - last) / 1e6))
+                last = ti if last is None else max(last, ti)
+        state.update((int(last),))
+        try:
+            state.setTimeoutTimestamp(int(last // 1000) + int(gap_us // 1000))
+        except Exception:  # no watermark on the input: gaps are emitted on the next event only
+            pass
+        if rows:
+            f, u, g = zip(*[(r[1], r[2], r[3]) for r in rows])
+            yield pd.DataFrame({"source": [r[0] for r in rows], "silent_from": pd.to_datetime(list(f), unit="us"),
+                                "silent_until": pd.to_datetime(list(u), unit="us"), "gap_seconds": list(g)})
+    return x.groupBy("source").applyInPandasWithState(fn, out_schema, "last bigint", "append",
+                                                      GroupStateTimeout.EventTimeTimeout)
