@@ -152,14 +152,16 @@ def tune_params(df: DataFrame, features: Sequence[str], label: str = "target", k
 
 
 def cross_validate(df: DataFrame, features: Sequence[str], label: str = "target", key: str = "user_id",
-                   folds: int = CV_FOLDS, params: dict | None = None, seed: int = SEED) -> DataFrame:
+                   folds: int = CV_FOLDS, params: dict | None = None, seed: int = SEED,
+                   parallelism: int = 4) -> DataFrame:
     """k-fold AUC (fold = md5 bucket of the key): one metric row per fold."""
     x = df.fillna(0, subset=list(features)).withColumn("_fold", md5_mod(F.col(key), folds))
     ev = BinaryClassificationEvaluator(labelCol=label, metricName="areaUnderROC")
-    rows = []
-    for f in range(folds):
+
+    def run(f):
         m = gbt(features, label, params, seed, validation=False).fit(x.where(F.col("_fold") != f))
-        rows.append((f, float(ev.evaluate(m.transform(x.where(F.col("_fold") == f))))))
+        return f, float(ev.evaluate(m.transform(x.where(F.col("_fold") == f))))
+    rows = _parallel(run, range(folds), parallelism)
     return df.sparkSession.createDataFrame(rows, "fold int, auc double")
 
 
@@ -171,17 +173,25 @@ def standardize(df: DataFrame, cols: Sequence[str], keep: Sequence[str] = ()) ->
     return j.select(*[F.col(k) for k in keep], *z)
 
 
+def _parallel(fn, items, parallelism: int):
+    """Run independent Spark jobs from a small thread pool (driver-side scheduling only)."""
+    from concurrent.futures import ThreadPoolExecutor
+    with ThreadPoolExecutor(max_workers=max(1, parallelism)) as ex:
+        return list(ex.map(fn, items))
+
+
 def kmeans_segments(df: DataFrame, cols: Sequence[str], key: str, k: int = KMEANS_K, starts: int = KMEANS_STARTS,
-                    seed: int = SEED) -> tuple[DataFrame, float]:
+                    seed: int = SEED, parallelism: int = 4) -> tuple[DataFrame, float]:
     """k-means on standardized columns, best of ``starts`` seeds by training cost."""
     z = standardize(df.fillna(0, subset=list(cols)), cols, keep=[key])
     v = VectorAssembler(inputCols=list(cols), outputCol="features").transform(z).cache()
-    best, cost = None, None
-    for i in range(starts):
+
+    def fit(i):
         m = KMeans(k=k, seed=seed + i, featuresCol="features", predictionCol="segment").fit(v)
-        c = m.summary.trainingCost
-        if cost is None or c < cost:
-            best, cost = m, c
+        return m.summary.trainingCost, i, m
+    # the starts are independent Spark jobs: submit them concurrently
+    fits = _parallel(fit, range(starts), parallelism)
+    cost, _, best = min(fits, key=lambda x: (x[0], x[1]))
     out = best.transform(v).select(key, "segment")
     return out, float(cost)
 
