@@ -25,6 +25,10 @@ def exact_quantiles(df: DataFrame, col: str, qs: Sequence[float], group: Sequenc
     g = list(group)
     v = (df.where(F.col(col).isNotNull()).select(*g, F.col(col).cast("double").alias("_v"))
          .groupBy(*g, "_v").agg(F.count(F.lit(1)).alias("_c")))
+    # the (value, count) table feeds the bucket bounds, the running counts and the
+    # totals: cut lineage once instead of re-aggregating the source three times
+    from propel.session import materialize
+    v = materialize(v)
     r = running_sums(v, ["_v"], ["_c"], buckets=buckets, inclusive=False, group=g)  # cum__c: values below
     n = v.groupBy(*g).agg(F.sum("_c").alias("_n"))
     j = r.join(n, g) if g else r.crossJoin(F.broadcast(n))

@@ -69,6 +69,8 @@ def auc_roc(df: DataFrame, label: str = "label", score: str = "score", buckets:
     by_score = (df.where(F.col(score).isNotNull() & F.col(label).isNotNull())
                 .groupBy(F.col(score).cast("double").alias("_s"))
                 .agg(F.count_if(F.col(label) == 1).alias("_pos"), F.count_if(F.col(label) != 1).alias("_neg")))
+    from propel.session import materialize
+    by_score = materialize(by_score)  # read by the bucket bounds and the running sums
     r = running_sums(by_score, ["_s"], ["_neg"], buckets=buckets, inclusive=False)  # negatives below
     a = r.agg(F.sum(F.col("_pos") * (F.col("cum__neg") + 0.5 * F.col("_neg"))).alias("_u"),
               F.sum("_pos").alias("_p"), F.sum("_neg").alias("_n"))

@@ -141,7 +141,8 @@ def first_n_users_prefix(df: DataFrame, n: int, user: str = "user_id", pos: str
     found by the distributed running count (no top-n sort held in one task,
     whatever n is); fewer than n users keeps every row.
     """
-    first = df.groupBy(user).agg(F.min(pos).alias("_fp")).withColumn("_one", F.lit(1).cast("long"))
+    from propel.session import materialize
+    first = materialize(df.groupBy(user).agg(F.min(pos).alias("_fp")).withColumn("_one", F.lit(1).cast("long")))
     ranked = prefix.running_sums(first, ["_fp", user], ["_one"])
     cutoff = ranked.agg(F.max(F.when(F.col("cum__one") <= n, F.col("_fp"))).alias("_cut"))  # one row
     return df.crossJoin(F.broadcast(cutoff)).where(F.col(pos) <= F.col("_cut")).drop("_cut")
