@@ -159,13 +159,17 @@ def suggest_channel(urgency: Column, engagement="engagement_score") -> Column:
 
 
 def reasoning_short(renewal="renewal_in_30_days", claim="had_claim_60d", engagement="engagement_score",
-                    value="monetary", default: str = REASONS_SHORT_DEFAULT) -> Column:
+                    value="monetary", default: str = REASONS_SHORT_DEFAULT, percent_of=None) -> Column:
+    """Up to four reasons joined by ', '. With ``percent_of`` (a score column) the
+    fallback text is ``Propensity: NN%`` (the prediction-service form)."""
     parts = [F.when(~falsy(col_(renewal).cast("int")), REASONS_SHORT[0]),
              F.when(~falsy(claim), REASONS_SHORT[1]),
              F.when(F.coalesce(col_(engagement), F.lit(0)) > 0.7, REASONS_SHORT[2]),
              F.when(F.coalesce(col_(value), F.lit(0)) > 15000, REASONS_SHORT[3])]
     txt = F.concat_ws(", ", *parts)
-    return F.when(txt == "", F.lit(default)).otherwise(txt)
+    fallback = (F.format_string("Propensity: %.0f%%", col_(percent_of) * 100) if percent_of is not None
+                else F.lit(default))
+    return F.when(txt == "", fallback).otherwise(txt)
 
 
 def reasoning_long(renewal="renewal_in_30_days", claim="had_claim_60d", service="days_since_service",
@@ -195,3 +199,15 @@ def decide(df: DataFrame, score="propensity_score") -> DataFrame:
             .withColumn("recommended_channel", recommend_channel(score))
             .withColumn("propensity_band", propensity_band(score))
             .withColumn("recommended_action", recommended_action(score)))
+
+
+def customers_in_list(df: DataFrame, ids, key: str = "customer_id", max_literal: int = 1000) -> DataFrame:
+    """Rows whose key is in ``ids``: a short Python list becomes an ``isin``
+    predicate (pushed to the scan); a DataFrame of ids becomes a left-semi join
+    (AQE broadcasts it only when it is measured small)."""
+    if isinstance(ids, DataFrame):
+        return df.join(ids.select(F.col(key)).distinct(), key, "left_semi")
+    ids = list(ids)
+    if len(ids) > max_literal:
+        return customers_in_list(df, df.sparkSession.createDataFrame([(i,) for i in ids], f"{key} long"), key)
+    return df.where(F.col(key).isin(ids))

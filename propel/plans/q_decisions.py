@@ -124,7 +124,7 @@ def q_customer_lookup(t):
 @query("customers_in_list", """
 SELECT customer_id, name FROM customers WHERE customer_id IN (SELECT customer_id FROM assignments)""")
 def q_customers_in_list(t):
-    return t.customers().join(t.assignments(), "customer_id", "left_semi").select("customer_id", "name")
+    return dc.customers_in_list(t.customers(), t.assignments()).select("customer_id", "name")
 
 
 def _model_input_sql():

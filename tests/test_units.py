@@ -300,3 +300,41 @@ def test_stream_and_batch_limiter_agree(spark):
     q.awaitTermination()
     got = {r.event_id: r.allowed for r in spark.sql("SELECT * FROM thr_out").collect()}
     assert got == batch
+
+
+def test_missing_feature_path_is_empty(spark):
+    df = fs.read_parquet_features(spark, "/nonexistent/features.parquet", "user_id long, total_ratings long")
+    assert df.count() == 0 and df.columns == ["user_id", "total_ratings"]
+
+
+def test_in_list_forms_agree(spark):
+    c = spark.range(1, 200).select(F.col("id").alias("customer_id"))
+    ids = [3, 5, 7, 500]
+    a = {r.customer_id for r in dc.customers_in_list(c, ids).collect()}
+    b = {r.customer_id for r in dc.customers_in_list(c, spark.createDataFrame([(i,) for i in ids], "customer_id long")).collect()}
+    assert a == b == {3, 5, 7}
+
+
+def test_stream_and_batch_ttl_agree(spark):
+    from propel.session import unique_dir
+    from propel.streaming.runner import read_stream, stage_files, stream_log_append
+    from propel.streaming.stateful import ttl_cache_label, ttl_cache_label_stream
+    req = _requests(spark, n=600, clients=4, seed=2)
+    batch = {r.event_id: r.cache_hit for r in ttl_cache_label(req, ttl_seconds=3600).collect()}
+    src = stage_files(req, unique_dir(spark, "ttl-src"), "ts", parts=3)
+    q = (ttl_cache_label_stream(read_stream(spark, src, req.schema), ttl_seconds=3600).writeStream
+         .format("memory").queryName("ttl_out").outputMode("append")
+         .option("checkpointLocation", unique_dir(spark, "ttl-ck")).trigger(availableNow=True).start())
+    q.awaitTermination()
+    got = {r.event_id: r.cache_hit for r in spark.sql("SELECT * FROM ttl_out").collect()}
+    assert got == batch
+    out = stream_log_append(spark, read_stream(spark, src, req.schema), unique_dir(spark, "log"))
+    logged = spark.read.parquet(out)
+    assert logged.count() == req.count() and logged.where("logged_at IS NULL").count() == 0
+
+
+def test_reasoning_percent_fallback(spark):
+    df = spark.createDataFrame([(0, 0, 0.1, 10.0, 0.734)], "renewal_in_30_days int, had_claim_60d int, "
+                               "engagement_score double, monetary double, p double")
+    r = df.select(dc.reasoning_short(percent_of="p").alias("a"), dc.reasoning_short().alias("b")).first()
+    assert r.a == "Propensity: 73%" and r.b == dc.REASONS_SHORT_DEFAULT
