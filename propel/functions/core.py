@@ -44,17 +44,6 @@ def or_default(c, default) -> Column:
     return F.when(falsy(c), F.lit(default)).otherwise(col_(c))
 
 
-def sample_skew(n, mean, m2, m3) -> Column:
-    """Bias-corrected sample skewness (pandas ``Series.skew``) from moments.
-
-    ``m2``/``m3`` are central moment sums. 0 when n < 3 or variance is zero.
-    """
-    n = col_(n).cast("double")
-    g1 = F.try_divide(m3 / n, F.pow(m2 / n, 1.5))
-    corr = F.sqrt(n * (n - 1)) / (n - 2)
-    return F.when((n < 3) | (m2 <= 0), F.lit(0.0)).otherwise(F.coalesce(g1 * corr, F.lit(0.0)))
-
-
 def round_doubles(df: DataFrame, places: int = 6) -> DataFrame:
     """Round every double/float column (stable hashes across engines)."""
     cols = []

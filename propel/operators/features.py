@@ -14,7 +14,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from propel.functions.core import elapsed_days, safe_div, sample_skew, ts
+from propel.functions.core import elapsed_days, safe_div, ts
 
 # ---------------------------------------------------------------------------
 # fixed values that must equal the reference

@@ -7,12 +7,11 @@ from pyspark.sql import functions as F
 from propel.operators import decisions as dc
 from propel.operators import experiments as ex
 from propel.operators import features as ft
-from propel.operators import ranking as rk
 from propel.operators import reports as rp
 from propel.operators import validation as vd
-from propel.plans.q_decisions import PROFILE_CTES, S, on_profile, profile, seg_by_score_sql
-from propel.plans.q_features import AS_OF, RATING_FEATURES_SQL, RFM_MATRIX_STAGED_SQL
-from propel.plans.registry import AS_OF_EVENTS, DAYS, R, TS, query
+from propel.plans.q_decisions import S, on_profile, profile, seg_by_score_sql
+from propel.plans.q_features import AS_OF, RFM_MATRIX_STAGED_SQL
+from propel.plans.registry import AS_OF_EVENTS, DAYS, R, query
 from propel.sources.tables import BASE_TABLES
 
 DAYS_WINDOW = 7
