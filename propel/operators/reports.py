@@ -162,27 +162,18 @@ def table_row_counts(tables: dict[str, DataFrame]) -> DataFrame:
 def feature_describe(df: DataFrame, cols: Sequence[str], quantile=None) -> DataFrame:
     """count, mean, std, min, quartiles, max per column in long format.
 
-    ``quantile(df, col, qs)`` supplies the quartiles; the default is the
-    exact, distributed :func:`propel.functions.quantile.exact_quantiles`.
+    The columns are unpivoted once to (column, value); every statistic is then a
+    grouped aggregate over that long table, and the quartiles come from one
+    grouped run of the exact, distributed quantile (a single pass for all
+    columns, whatever their number).
     """
     from propel.functions.quantile import exact_quantiles
     quantile = quantile or exact_quantiles
-    aggs = []
-    for c in cols:
-        aggs += [F.count(c).alias(f"{c}__count"), F.avg(c).alias(f"{c}__mean"),
-                 F.stddev_samp(c).alias(f"{c}__std"), F.min(c).cast("double").alias(f"{c}__min"),
-                 F.max(c).cast("double").alias(f"{c}__max")]
-    one = df.agg(*aggs)
-    rows = []
-    for c in cols:
-        q = quantile(df, c, [0.25, 0.5, 0.75])
-        r = one.crossJoin(F.broadcast(q)).select(
-            F.lit(c).alias("column"), F.col(f"{c}__count").alias("count"), F.col(f"{c}__mean").alias("mean"),
-            F.col(f"{c}__std").alias("std"), F.col(f"{c}__min").alias("min"),
-            F.col("q0").alias("p25"), F.col("q1").alias("p50"), F.col("q2").alias("p75"),
-            F.col(f"{c}__max").alias("max"))
-        rows.append(r)
-    out = rows[0]
-    for r in rows[1:]:
-        out = out.unionByName(r)
-    return out
+    long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value"))
+                                         for c in cols])).alias("_p")).select("_p.column", "_p.value")
+    stats = long.groupBy("column").agg(F.count("value").alias("count"), F.avg("value").alias("mean"),
+                                       F.stddev_samp("value").alias("std"), F.min("value").alias("min"),
+                                       F.max("value").alias("max"))
+    q = quantile(long, "value", [0.25, 0.5, 0.75], group=["column"]).select(
+        "column", F.col("q0").alias("p25"), F.col("q1").alias("p50"), F.col("q2").alias("p75"))
+    return stats.join(q, "column", "left").select("column", "count", "mean", "std", "min", "p25", "p50", "p75", "max")

@@ -78,12 +78,46 @@ def unique_dir(spark: SparkSession, name: str) -> str:
     return shared_dir(spark, f"{name}-{uuid.uuid4().hex[:12]}")
 
 
-def materialize(df, how: str = "checkpoint"):
-    """Cut lineage at ``df``: write it as a parquet table in a fresh folder of the
-    shared checkpoint dir and read it back (``how="table"``), or use a reliable
-    ``checkpoint()`` (``how="checkpoint"``). Both survive executor loss, unlike
-    a local checkpoint or a cache."""
+MATERIALIZE_MIN_BYTES_CONF = "propel.materialize.minBytes"
+MATERIALIZE_MIN_BYTES = 1 << 30
+
+
+def estimated_bytes(df) -> int | None:
+    """Bytes of the files the plan reads (what a recomputation scans again).
+
+    Catalyst's own size estimate is not used: without cost-based statistics an
+    inner join is estimated as the product of its inputs.
+    """
+    try:
+        files = df.inputFiles()
+        if not files:
+            return None
+        sc = df.sparkSession.sparkContext
+        conf = sc._jsc.hadoopConfiguration()
+        total = 0
+        for f in files:
+            p = sc._jvm.org.apache.hadoop.fs.Path(f)
+            total += p.getFileSystem(conf).getFileStatus(p).getLen()
+        return int(total)
+    except Exception:
+        return None
+
+
+def materialize(df, how: str = "checkpoint", min_bytes: int | None = None):
+    """Cut lineage at ``df`` when the plan feeds several later passes.
+
+    Below ``min_bytes`` of estimated input (conf ``propel.materialize.minBytes``,
+    default 1 GiB) recomputing is cheaper than writing, and ``df`` is returned
+    as is. Above it the rows are written once into a fresh folder of the shared
+    checkpoint dir: a reliable ``checkpoint()`` (default) or a parquet table
+    (``how="table"``). Both survive executor loss, unlike a local checkpoint.
+    """
     spark = df.sparkSession
+    if min_bytes is None:
+        min_bytes = int(spark.conf.get(MATERIALIZE_MIN_BYTES_CONF, str(MATERIALIZE_MIN_BYTES)))
+    size = estimated_bytes(df)
+    if size is not None and size < min_bytes:
+        return df
     if how == "checkpoint":
         shared_dir(spark)
         return df.checkpoint(eager=True)
