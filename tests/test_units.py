@@ -34,9 +34,9 @@ def test_block_reader_headers_splits_and_bad_lines(spark):
     # a long block so that it spans split boundaries at a tiny maxPartitionBytes
     f1 += ["4:"] + [f"{100 + i},{1 + i % 5},2003-03-{1 + i % 28:02d}" for i in range(400)]
     f2 = ["7:", "20,1,2001-01-01", "21,2", "8:", "22,5,2002-02-02"]
-    with open(os.path.join(d, "combined_data_1.txt"), "w") as fh:
+    with open(os.path.join(d, "ratings_part1.txt"), "w") as fh:
         fh.write("\n".join(f1) + "\n")
-    with open(os.path.join(d, "combined_data_2.txt"), "w") as fh:
+    with open(os.path.join(d, "ratings_part2.txt"), "w") as fh:
         fh.write("\n".join(f2) + "\n")
     old = spark.conf.get("spark.sql.files.maxPartitionBytes")
     spark.conf.set("spark.sql.files.maxPartitionBytes", "512")
@@ -66,7 +66,7 @@ def test_check_rating_lines_classifies(spark):
 # ---- titles -----------------------------------------------------------------------
 def test_titles_latin1_commas_null_year(spark):
     d = _tmp()
-    with open(os.path.join(d, "movie_titles.csv"), "wb") as fh:
+    with open(os.path.join(d, "titles.csv"), "wb") as fh:
         fh.write("1,2003,Dinosaur Planet\n2,NULL,Hello, World, Again\n\n3,1999,Caf\xe9 Noir\n".encode("latin-1"))
     got = {r.movie_id: (r.year, r.title) for r in fs.read_titles(spark, d).collect()}
     assert got[1] == (2003, "Dinosaur Planet")
