@@ -128,8 +128,16 @@ def classify_rating_lines(lines: DataFrame, text_col: str = "value") -> DataFram
                         .alias("header_movie_id"))
 
 
-def check_rating_lines(lines: DataFrame, text_col: str = "value") -> DataFrame:
-    """Counts per line kind, rating range, distinct movies and the valid flag."""
+def check_rating_lines(lines: DataFrame, text_col: str = "value", fraction: float | None = None) -> DataFrame:
+    """Counts per line kind, rating range, distinct movies and the valid flag.
+
+    All lines by default; with ``fraction`` a repeatable sample (hash of the
+    file, split and line text), the same lines on every run.
+    """
+    if fraction is not None:
+        h = F.xxhash64(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.col(text_col)) \
+            if "_metadata" not in lines.columns and _has_metadata(lines) else F.xxhash64(F.col(text_col))
+        lines = lines.where(F.pmod(h, F.lit(10000)) < int(round(fraction * 10000)))
     c = classify_rating_lines(lines, text_col)
     k = F.col("line_kind")
     g = c.agg(
@@ -146,6 +154,14 @@ def check_rating_lines(lines: DataFrame, text_col: str = "value") -> DataFrame:
     return g.withColumn("valid", (F.col("valid_ratings") > 0) & (issues == 0))
 
 
+def _has_metadata(df: DataFrame) -> bool:
+    try:
+        df.select(F.col("_metadata.file_path")).schema
+        return True
+    except Exception:
+        return False
+
+
 def check_titles(titles: DataFrame, lo: int = TITLE_YEAR_RANGE[0], hi: int = TITLE_YEAR_RANGE[1]) -> DataFrame:
     y = F.col("year")
     bad_year = (y < lo) | (y > hi)

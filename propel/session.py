@@ -124,3 +124,23 @@ def materialize(df, how: str = "checkpoint", min_bytes: int | None = None):
     path = unique_dir(spark, "mat")
     df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
+
+
+def size_for_input(spark: SparkSession, input_bytes: int, cores: int, target_partition_bytes: int = 256 << 20,
+                   max_split_bytes: int = 256 << 20) -> dict:
+    """Shuffle sizing for a given input volume, so partitions fit executor memory.
+
+    Initial shuffle partitions = input / target (at least 2 per core); AQE then
+    coalesces toward the advisory size and splits skewed partitions. Scan splits
+    are capped at ``max_split_bytes``. Returns the settings it applied.
+    """
+    parts = max(2 * cores, -(-int(input_bytes) // target_partition_bytes))
+    conf = {
+        "spark.sql.shuffle.partitions": str(parts),
+        "spark.sql.adaptive.coalescePartitions.initialPartitionNum": str(parts),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target_partition_bytes // 2),
+        "spark.sql.files.maxPartitionBytes": str(max_split_bytes),
+    }
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    return conf

@@ -354,3 +354,26 @@ def test_checkpointed_path_gives_same_rows(spark, key):
     finally:
         spark.conf.unset("propel.materialize.minBytes")
     assert a == b
+
+
+def test_check_rating_lines_sample_is_repeatable(spark):
+    from propel.session import unique_dir
+    t = _ratings(spark, [(u, u % 7, 1 + u % 5, "2005-01-01") for u in range(500)])
+    path = fs.write_rating_blocks(t, unique_dir(spark, "lines"), files=2)
+    a = vd.check_rating_lines(fs.read_block_lines(spark, path), fraction=0.3).first()
+    b = vd.check_rating_lines(fs.read_block_lines(spark, path), fraction=0.3).first()
+    full = vd.check_rating_lines(fs.read_block_lines(spark, path)).first()
+    assert a == b and 0 < a.total_lines < full.total_lines and full.valid_ratings == 500
+
+
+def test_size_for_input(spark):
+    from propel.session import size_for_input
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        conf = size_for_input(spark, 100 * (1 << 40), cores=8000)
+        assert int(conf["spark.sql.shuffle.partitions"]) == 409600
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.initialPartitionNum")
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+        spark.conf.set("spark.sql.files.maxPartitionBytes", str(128 << 20))
