@@ -31,7 +31,8 @@ def training_table(t):
     (every boosting round and fold rereads it)."""
     k = (t.spark.sparkContext.applicationId, t.sf_dir)
     if k not in _TABLES:
-        _TABLES[k] = materialize(ft.quantile_label(ft.rating_features(t.ratings())))
+        # iterative fitters reread their input on every pass: always cut lineage here
+        _TABLES[k] = materialize(ft.quantile_label(ft.rating_features(t.ratings())), min_bytes=0)
     return _TABLES[k]
 
 
