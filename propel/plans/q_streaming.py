@@ -262,9 +262,9 @@ SELECT id, {TS('created_at', 'created_at')},
 FROM feedback""")
 def q_feedback_stream_trigger(t):
     spark = t.spark
-    src = rn.stage_files(t.feedback().select("id", F.col("created_at").cast("timestamp").alias("created_at")),
+    src, per_batch = rn.stage_files(t.feedback().select("id", F.col("created_at").cast("timestamp").alias("created_at")),
                          unique_dir(spark, "feedback-src"), "created_at", parts=4)
-    stream = rn.read_stream(spark, src, "id bigint, created_at timestamp")
+    stream = rn.read_stream(spark, src, "id bigint, created_at timestamp", files_per_trigger=per_batch)
     out = rn.feedback_stream_trigger(spark, stream, unique_dir(spark, "feedback-out"))
     return spark.read.parquet(out).select("id", "created_at", "running_count", "retrain_triggered")
 
@@ -276,8 +276,8 @@ WHERE rn = 1""")
 def q_live_prediction_feed(t):
     spark = t.spark
     p = t.predictions().withColumn("created_at", F.col("created_at").cast("timestamp"))
-    src = rn.stage_files(p, unique_dir(spark, "pred-src"), "created_at", parts=4)
-    stream = rn.read_stream(spark, src, p.schema)
+    src, per_batch = rn.stage_files(p, unique_dir(spark, "pred-src"), "created_at", parts=4)
+    stream = rn.read_stream(spark, src, p.schema, files_per_trigger=per_batch)
     path = rn.live_prediction_feed(spark, stream, unique_dir(spark, "latest"))
     return rn.read_latest_epoch(spark, path).select("customer_id", "propensity_score", "model_version",
                                                      "created_at", "id")
@@ -293,8 +293,8 @@ HAVING window_end <= (SELECT max(CAST(ts AS TIMESTAMP)) FROM request_log) - INTE
 def q_request_rate_stream(t):
     spark = t.spark
     r = t.request_log().withColumn("ts", F.col("ts").cast("timestamp"))
-    src = rn.stage_files(r, unique_dir(spark, "requests-src"), "ts", parts=4)
-    stream = mt.with_event_time(rn.read_stream(spark, src, r.schema), watermark=WATERMARK)
+    src, per_batch = rn.stage_files(r, unique_dir(spark, "requests-src"), "ts", parts=4)
+    stream = mt.with_event_time(rn.read_stream(spark, src, r.schema, files_per_trigger=per_batch), watermark=WATERMARK)
     sink = rn.run_available_now(mt.request_rate(stream, SIZE, SLIDE), spark, "request-rate")
     return spark.read.parquet(sink)
 
@@ -305,8 +305,8 @@ def q_alert_sustained_stream(t):
     stream and labelled by per-rule state."""
     spark = t.spark
     ev = _evals(t).withColumn("window_end", F.col("window_end").cast("timestamp"))
-    src = rn.stage_files(ev, unique_dir(spark, "evals-src"), "window_end", parts=4)
-    stream = rn.read_stream(spark, src, ev.schema)
+    src, per_batch = rn.stage_files(ev, unique_dir(spark, "evals-src"), "window_end", parts=4)
+    stream = rn.read_stream(spark, src, ev.schema, files_per_trigger=per_batch)
     sink = rn.run_available_now(sf.alert_sustained_stream(stream, for_seconds=SUSTAIN_S), spark, "sustained")
     return spark.read.parquet(sink).select("rule", F.col("at").alias("window_end"), "condition", "firing",
                                            "active_since")
@@ -323,7 +323,7 @@ def q_metrics_absent_stream(t):
     per-source state (open silences at the end of the stream are not compared)."""
     spark = t.spark
     r = t.request_log().select("client", F.col("ts").cast("timestamp").alias("ts"))
-    src = rn.stage_files(r, unique_dir(spark, "absent-src"), "ts", parts=4)
-    stream = mt.with_event_time(rn.read_stream(spark, src, r.schema), watermark="1 hour")
+    src, per_batch = rn.stage_files(r, unique_dir(spark, "absent-src"), "ts", parts=4)
+    stream = mt.with_event_time(rn.read_stream(spark, src, r.schema, files_per_trigger=per_batch), watermark="1 hour")
     sink = rn.run_available_now(sf.metrics_absent_stream(stream, gap_seconds=ABSENT_GAP), spark, "absent")
     return spark.read.parquet(sink).where(F.col("silent_until").isNotNull())

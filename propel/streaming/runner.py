@@ -16,23 +16,27 @@ from propel.functions.prefix import running_sums
 from propel.session import unique_dir
 
 
-def stage_files(df: DataFrame, path: str, order_col: str, parts: int = 4) -> str:
-    """Write rows as ``parts`` files in ``order_col`` ranges, one write each in
-    time order, so a file stream source replays them as ordered micro-batches."""
+def stage_files(df: DataFrame, path: str, order_col: str, parts: int = 4,
+                rows_per_file: int = 1_000_000) -> tuple[str, int]:
+    """Write rows as ``parts`` time ranges of ``order_col``, one write per range in
+    time order, each as exactly k files (round-robin, so none is empty). A file
+    stream that takes k files per trigger then replays one range per micro-batch.
+    Returns (path, k). The ranges are written by parallel tasks; no single task
+    carries a range."""
     us_col = F.unix_micros(F.col(order_col).cast("timestamp"))
-    # parts - 1 cut points: a bounded driver-side list
-    edges = df.select(F.percentile_approx(us_col, [i / parts for i in range(1, parts)], 10000).alias("e")
-                      ).first()["e"]
+    # parts - 1 cut points and the row count: bounded driver-side values
+    edges, n = df.select(F.percentile_approx(us_col, [i / parts for i in range(1, parts)], 10000).alias("e"),
+                         F.count(F.lit(1)).alias("n")).first()
+    k = max(1, min(df.sparkSession.sparkContext.defaultParallelism, n // (parts * rows_per_file) or 1))
     bounds = [None] + list(edges) + [None]
-    us = F.unix_micros(F.col(order_col).cast("timestamp"))
     for i in range(parts):
         cond = F.lit(True)
         if bounds[i] is not None:
-            cond = cond & (us > bounds[i])
+            cond = cond & (us_col > bounds[i])
         if bounds[i + 1] is not None:
-            cond = cond & (us <= bounds[i + 1])
-        df.where(cond).coalesce(1).write.mode("append").parquet(path)
-    return path
+            cond = cond & (us_col <= bounds[i + 1])
+        df.where(cond).repartition(k).write.mode("append").parquet(path)
+    return path, k
 
 
 def read_stream(spark: SparkSession, path: str, schema, files_per_trigger: int = 1) -> DataFrame:

@@ -25,7 +25,7 @@ METRICS = {
 @pytest.fixture(scope="module")
 def staged(spark):
     r = Tables(spark, SF_SMALL).request_log().withColumn("ts", F.col("ts").cast("timestamp"))
-    return r, rn.stage_files(r, unique_dir(spark, "metrics-src"), "ts", parts=3)
+    return (r, *rn.stage_files(r, unique_dir(spark, "metrics-src"), "ts", parts=3))
 
 
 def _rows(df):
@@ -34,9 +34,9 @@ def _rows(df):
 
 @pytest.mark.parametrize("name", sorted(METRICS))
 def test_stream_equals_batch_on_closed_windows(spark, staged, name):
-    r, src = staged
+    r, src, per_batch = staged
     fn = METRICS[name]
-    stream = mt.with_event_time(rn.read_stream(spark, src, r.schema), watermark=WM)
+    stream = mt.with_event_time(rn.read_stream(spark, src, r.schema, files_per_trigger=per_batch), watermark=WM)
     sink = rn.run_available_now(fn(stream), spark, f"parity-{name}")
     got = spark.read.parquet(sink)
     cut = r.agg(F.max("ts")).first()[0]

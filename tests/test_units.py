@@ -292,8 +292,9 @@ def test_stream_and_batch_limiter_agree(spark):
     from propel.session import unique_dir
     req = _requests(spark, n=600, clients=4)
     batch = {r.event_id: r.allowed for r in throttle_label(req, limit=3, window_seconds=7200).collect()}
-    src = stage_files(req, unique_dir(spark, "t-src"), "ts", parts=3)
-    stream = read_stream(spark, src, req.schema)
+    src, per_batch = stage_files(req, unique_dir(spark, "t-src"), "ts", parts=3, rows_per_file=50)
+    assert per_batch > 1  # several files per micro-batch
+    stream = read_stream(spark, src, req.schema, files_per_trigger=per_batch)
     q = (throttle_label_stream(stream, limit=3, window_seconds=7200).writeStream.format("memory")
          .queryName("thr_out").outputMode("append").option("checkpointLocation", unique_dir(spark, "t-ck"))
          .trigger(availableNow=True).start())
@@ -321,14 +322,14 @@ def test_stream_and_batch_ttl_agree(spark):
     from propel.streaming.stateful import ttl_cache_label, ttl_cache_label_stream
     req = _requests(spark, n=600, clients=4, seed=2)
     batch = {r.event_id: r.cache_hit for r in ttl_cache_label(req, ttl_seconds=3600).collect()}
-    src = stage_files(req, unique_dir(spark, "ttl-src"), "ts", parts=3)
-    q = (ttl_cache_label_stream(read_stream(spark, src, req.schema), ttl_seconds=3600).writeStream
+    src, per_batch = stage_files(req, unique_dir(spark, "ttl-src"), "ts", parts=3)
+    q = (ttl_cache_label_stream(read_stream(spark, src, req.schema, files_per_trigger=per_batch), ttl_seconds=3600).writeStream
          .format("memory").queryName("ttl_out").outputMode("append")
          .option("checkpointLocation", unique_dir(spark, "ttl-ck")).trigger(availableNow=True).start())
     q.awaitTermination()
     got = {r.event_id: r.cache_hit for r in spark.sql("SELECT * FROM ttl_out").collect()}
     assert got == batch
-    out = stream_log_append(spark, read_stream(spark, src, req.schema), unique_dir(spark, "log"))
+    out = stream_log_append(spark, read_stream(spark, src, req.schema, files_per_trigger=per_batch), unique_dir(spark, "log"))
     logged = spark.read.parquet(out)
     assert logged.count() == req.count() and logged.where("logged_at IS NULL").count() == 0
 
