@@ -279,8 +279,8 @@ def q_live_prediction_feed(t):
     src, per_batch = rn.stage_files(p, unique_dir(spark, "pred-src"), "created_at", parts=4)
     stream = rn.read_stream(spark, src, p.schema, files_per_trigger=per_batch)
     path = rn.live_prediction_feed(spark, stream, unique_dir(spark, "latest"))
-    return rn.read_latest_epoch(spark, path).select("customer_id", "propensity_score", "model_version",
-                                                     "created_at", "id")
+    return rn.read_latest(spark, path).select("customer_id", "propensity_score", "model_version",
+                                              "created_at", "id")
 
 
 WATERMARK = "1 hour"

@@ -61,15 +61,23 @@ def run_available_now(stream: DataFrame, spark: SparkSession, name: str, mode: s
 def feedback_stream_trigger(spark: SparkSession, stream: DataFrame, out_path: str, threshold: int = 10,
                             order: tuple[str, str] = ("created_at", "id")) -> str:
     """Running feedback count over the stream; rows from the threshold-th on carry
-    the retrain signal. Each micro-batch numbers its rows with the distributed
-    running sum, offset by the total of earlier epochs, and overwrites its own
-    ``epoch=`` partition (a replayed epoch rewrites the same rows)."""
+    the retrain signal.
+
+    Each micro-batch numbers its rows with the distributed running sum, offset
+    by the total after the previous epoch, which is read from a one-row-per-epoch
+    totals table (``<out>/_totals``), so the cost per batch does not grow with
+    the history. Rows and the total overwrite their own ``epoch=`` partitions,
+    so a replayed epoch rewrites the same rows.
+    """
+    totals_path = out_path.rstrip("/") + "_totals"
+
     def process(batch: DataFrame, epoch_id: int):
         prev = 0
         try:
-            done = spark.read.parquet(out_path).where(F.col("epoch") < epoch_id)
-            prev = done.agg(F.count(F.lit(1))).first()[0] or 0
-        except Exception:  # nothing written yet
+            last = (spark.read.parquet(totals_path).where(F.col("epoch") < epoch_id)
+                    .agg(F.max_by("total", "epoch")).first()[0])
+            prev = int(last or 0)
+        except Exception:  # first epoch: no totals yet
             prev = 0
         b = batch.select(*order).withColumn("_one", F.lit(1).cast("long"))
         r = running_sums(b, list(order), ["_one"], buckets=64)
@@ -78,6 +86,9 @@ def feedback_stream_trigger(spark: SparkSession, stream: DataFrame, out_path: st
                .drop("_one", "cum__one").withColumn("epoch", F.lit(epoch_id)))
         (out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
          .partitionBy("epoch").parquet(out_path))
+        n = spark.read.parquet(out_path).where(F.col("epoch") == epoch_id).count()  # this epoch only
+        (spark.createDataFrame([(epoch_id, prev + n)], "epoch long, total long").write.mode("overwrite")
+         .option("partitionOverwriteMode", "dynamic").partitionBy("epoch").parquet(totals_path))
     run_available_now(stream, spark, "feedback-trigger", foreach_batch=process)
     return out_path
 
@@ -85,28 +96,39 @@ def feedback_stream_trigger(spark: SparkSession, stream: DataFrame, out_path: st
 def live_prediction_feed(spark: SparkSession, stream: DataFrame, latest_path: str, key: str = "customer_id",
                          order: tuple[str, str] = ("created_at", "id"),
                          cols: tuple[str, ...] = ("propensity_score", "model_version", "created_at", "id")) -> str:
-    """Latest score per customer kept as a table: each micro-batch reduces its
-    rows with ``max_by`` and merges them into the previous epoch's table,
-    written as a new ``epoch=`` partition (readers take the newest)."""
+    """Latest score per customer as an append-only table of per-epoch deltas.
+
+    Each micro-batch writes only its changed keys (reduced with ``max_by``) into
+    its own ``epoch=`` partition, so the work per batch is the batch, not the
+    table. :func:`read_latest` reduces the deltas with the same ``max_by``, and
+    :func:`compact_latest` folds them into one partition when they pile up.
+    """
     upd = stream.groupBy(key).agg(F.max_by(F.struct(*cols), F.struct(*order)).alias("_r"))
 
     def process(batch: DataFrame, epoch_id: int):
-        cur = batch.select(key, *[F.col(f"_r.{c}").alias(c) for c in cols])
-        try:
-            old = spark.read.parquet(latest_path).where(F.col("epoch") < epoch_id)
-            newest = old.agg(F.max("epoch").alias("epoch"))
-            old = old.join(F.broadcast(newest), "epoch").drop("epoch")
-            cur = cur.unionByName(old)
-        except Exception:  # first epoch
-            pass
-        merged = cur.groupBy(key).agg(F.max_by(F.struct(*cols), F.struct(*order)).alias("_r"))
-        out = merged.select(key, *[F.col(f"_r.{c}").alias(c) for c in cols]).withColumn("epoch", F.lit(epoch_id))
-        (out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        cur = batch.select(key, *[F.col(f"_r.{c}").alias(c) for c in cols]).withColumn("epoch", F.lit(epoch_id))
+        (cur.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
          .partitionBy("epoch").parquet(latest_path))
     run_available_now(upd, spark, "live-feed", mode="update", foreach_batch=process)
     return latest_path
 
 
+def read_latest(spark: SparkSession, path: str, key: str = "customer_id",
+                order: tuple[str, str] = ("created_at", "id")) -> DataFrame:
+    """Newest row per key over all delta partitions (partial aggregation, no sort)."""
+    t = spark.read.parquet(path).drop("epoch")
+    cols = [c for c in t.columns if c != key]
+    g = t.groupBy(key).agg(F.max_by(F.struct(*cols), F.struct(*order)).alias("_r"))
+    return g.select(key, *[F.col(f"_r.{c}").alias(c) for c in cols])
+
+
+def compact_latest(spark: SparkSession, path: str, out_path: str, key: str = "customer_id") -> str:
+    """Fold the deltas into one table (epoch 0) at ``out_path``."""
+    read_latest(spark, path, key).withColumn("epoch", F.lit(0)).write.mode("overwrite").partitionBy(
+        "epoch").parquet(out_path)
+    return out_path
+
+
 def read_latest_epoch(spark: SparkSession, path: str) -> DataFrame:
     t = spark.read.parquet(path)
     newest = t.agg(F.max("epoch").alias("epoch"))
