@@ -181,7 +181,7 @@ def _parallel(fn, items, parallelism: int):
 
 
 def kmeans_segments(df: DataFrame, cols: Sequence[str], key: str, k: int = KMEANS_K, starts: int = KMEANS_STARTS,
-                    seed: int = SEED, parallelism: int = 4) -> tuple[DataFrame, float]:
+                    seed: int = SEED, parallelism: int | None = None) -> tuple[DataFrame, float]:
     """k-means on standardized columns, best of ``starts`` seeds by training cost."""
     z = standardize(df.fillna(0, subset=list(cols)), cols, keep=[key])
     v = VectorAssembler(inputCols=list(cols), outputCol="features").transform(z).cache()
@@ -190,7 +190,7 @@ def kmeans_segments(df: DataFrame, cols: Sequence[str], key: str, k: int = KMEAN
         m = KMeans(k=k, seed=seed + i, featuresCol="features", predictionCol="segment").fit(v)
         return m.summary.trainingCost, i, m
     # the starts are independent Spark jobs: submit them concurrently
-    fits = _parallel(fit, range(starts), parallelism)
+    fits = _parallel(fit, range(starts), parallelism or min(starts, df.sparkSession.sparkContext.defaultParallelism))
     cost, _, best = min(fits, key=lambda x: (x[0], x[1]))
     out = best.transform(v).select(key, "segment")
     return out, float(cost)

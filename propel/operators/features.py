@@ -163,8 +163,10 @@ def rating_years(ratings: DataFrame) -> list[int]:
     return sorted(r[0] for r in ratings.select(F.year(ts("date")).alias("y")).distinct().collect())
 
 
-def yearly_activity(ratings: DataFrame, years: Sequence[int]) -> DataFrame:
-    """user x year rating counts pivoted on a given year list, missing = 0."""
+def yearly_activity(ratings: DataFrame, years: Sequence[int] | None = None) -> DataFrame:
+    """user x year rating counts pivoted on a year list, missing = 0. Without a
+    list the distinct years are read first (one small aggregate: a calendar span)."""
+    years = list(years) if years is not None else rating_years(ratings)
     y = ratings.select("user_id", F.year(ts("date")).alias("year"))
     aggs = [F.count_if(F.col("year") == yr).alias(f"y{yr}") for yr in years]
     return y.groupBy("user_id").agg(*aggs)

@@ -97,11 +97,12 @@ def q_src_feature_table(t):
 
 
 @query("json_column_parse", """
-SELECT event_id, CAST(json_extract(props, '$.k') AS INT) AS k,
+SELECT event_id, CAST(json_extract(props, '$.k') AS INT) AS k, json_extract_string(props, '$.k') AS k_text,
        CAST(to_json(struct_pack(k := CAST(json_extract(props, '$.k') AS INT))) AS VARCHAR) AS props_json FROM events""")
 def q_json_column_parse(t):
     e = fs.parse_json_column(t.base("events").select("event_id", "props"), "props", "struct<k:int>")
-    return e.select("event_id", F.col("props_parsed.k").alias("k"), F.to_json("props_parsed").alias("props_json"))
+    return e.select("event_id", F.col("props_parsed.k").alias("k"), F.get_json_object("props", "$.k").alias("k_text"),
+                    F.to_json("props_parsed").alias("props_json"))
 
 
 @query("sink_parquet_features", RFM_MATRIX_STAGED_SQL)

@@ -378,3 +378,9 @@ def test_size_for_input(spark):
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.initialPartitionNum")
         spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
         spark.conf.set("spark.sql.files.maxPartitionBytes", str(128 << 20))
+
+
+def test_yearly_activity_derives_years(spark):
+    r = _ratings(spark, [(1, 1, 4, "2004-01-01"), (1, 2, 5, "2005-03-01"), (2, 1, 3, "2005-06-01")])
+    got = {x.user_id: x for x in ft.yearly_activity(r).collect()}
+    assert got[1].y2004 == 1 and got[1].y2005 == 1 and got[2].y2004 == 0
