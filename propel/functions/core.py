@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 DAY_MICROS = 86_400_000_000.0
 
@@ -44,21 +43,6 @@ def or_default(c, default) -> Column:
     return F.when(falsy(c), F.lit(default)).otherwise(col_(c))
 
 
-def round_doubles(df: DataFrame, places: int = 6) -> DataFrame:
-    """Round every double/float column (stable hashes across engines)."""
-    cols = []
-    for f in df.schema.fields:
-        if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
-            cols.append(F.round(F.col(f.name).cast("double"), places).alias(f.name))
-        else:
-            cols.append(F.col(f.name))
-    return df.select(*cols)
-
-
-def ts_text(c, fmt: str = "yyyy-MM-dd HH:mm:ss") -> Column:
-    return F.date_format(ts(c), fmt)
-
-
 def md5_mod(c, m: int = 100) -> Column:
     """int(md5(str(x)).hexdigest(), 16) % m, exactly, with 64-bit arithmetic.
 

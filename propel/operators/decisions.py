@@ -63,13 +63,13 @@ def model_input_project(df: DataFrame) -> DataFrame:
     prods = F.col("products_owned") if has_list else F.lit(None).cast("array<string>")
     nonempty = prods.isNotNull() & (F.size(prods) > 0)
     out = [F.col("customer_id"),
-           num("recency_days", 9999).alias("recency_days"),
+           num("recency_days", MODEL_INPUT_DEFAULTS["recency_days"]).alias("recency_days"),
            num("frequency").alias("frequency"),
            num("monetary").alias("monetary"),
            num("tenure_days").alias("tenure_days"),
            F.when(nonempty, F.size(prods)).otherwise(F.lit(1)).alias("num_products"),
-           num("engagement_score", 0.5).cast("double").alias("engagement_score"),
-           num("days_since_service", 9999).alias("days_since_service"),
+           num("engagement_score", MODEL_INPUT_DEFAULTS["engagement_score"]).cast("double").alias("engagement_score"),
+           num("days_since_service", MODEL_INPUT_DEFAULTS["days_since_service"]).alias("days_since_service"),
            (~falsy("had_claim_60d")).cast("int").alias("had_claim_60d"),
            (~falsy(F.col("renewal_in_30_days").cast("int"))).cast("int").alias("renewal_in_30_days"),
            num("lost_quotation_count").alias("lost_quotation_count")]

@@ -12,7 +12,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from propel.functions.core import guard_div
 
 # ---------------------------------------------------------------------------
 # fixed values that must equal the reference: the feature-table schema
@@ -45,9 +44,6 @@ LIMIT_RANGE = (1, 50)
 TITLE_YEAR_RANGE = (1000, 2006)
 RATING_VALUES = (1, 2, 3, 4, 5)
 
-SPARK_TYPE = {"int": "bigint", "float": "double"}
-
-
 def rule_text(kind, a, b) -> str:
     if kind == "ge":
         return f"greater_than_or_equal_to({a})"
@@ -255,5 +251,3 @@ def sample_fraction(df: DataFrame, key: str, fraction: float = 0.1) -> DataFrame
     return df.where(md5_mod(F.col(key), 100) < int(round(fraction * 100)))
 
 
-def coverage_ratio(n, d) -> Column:
-    return guard_div(n, d)

@@ -12,8 +12,6 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-RATING_SCHEMA = T.StructType([T.StructField("user_id", T.IntegerType()), T.StructField("movie_id", T.IntegerType()),
-                              T.StructField("rating", T.IntegerType()), T.StructField("date", T.TimestampType())])
 TITLE_SEP = "\u0001"  # a separator absent from the data: every line is one field
 LATIN1 = "ISO-8859-1"
 

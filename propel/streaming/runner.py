@@ -129,12 +129,6 @@ def compact_latest(spark: SparkSession, path: str, out_path: str, key: str = "cu
     return out_path
 
 
-def read_latest_epoch(spark: SparkSession, path: str) -> DataFrame:
-    t = spark.read.parquet(path)
-    newest = t.agg(F.max("epoch").alias("epoch"))
-    return t.join(F.broadcast(newest), "epoch").drop("epoch")
-
-
 def stream_log_append(spark: SparkSession, stream: DataFrame, path: str, ts_col: str = "logged_at",
                       name: str = "log-append") -> str:
     """Streaming variant of the log append: every row stamped with the write time,
