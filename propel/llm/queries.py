@@ -4,10 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from propel.llm import chat_format as cf
 from propel.llm import decontaminate as dc
 from propel.llm import entropy_mix as em
+from propel.llm import html_extract as he
+from propel.llm import license_scan as ls
 from propel.llm import near_dedup as nd
+from propel.llm import quality_rules as qr
 from propel.llm import shard as sh
+from propel.llm import token_count as tc
 from propel.llm import toxicity as tx
 
 QUERIES, ORACLE = {}, {}
@@ -54,3 +59,44 @@ def op9_toxicity(spark, sf_dir):
 @query
 def op10_bottom_k_dedup(spark, sf_dir):
     return nd.near_duplicates(table(spark, sf_dir, "documents"), k=4).withColumnRenamed("id", "doc_id")
+
+
+@query
+def op1_chat_format(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    own = spark.sql("SELECT -7L AS conv_id, t AS turn, r AS role, '</s>[INST] ok [/INST]' AS text FROM VALUES (0L, 'user'), (1L, 'assistant') AS v(t, r)")
+    return cf.read_back(cf.windows(c.unionByName(own)))
+
+
+@query
+def op3_license_scan(spark, sf_dir):
+    return ls.scan(table(spark, sf_dir, "documents"), ["doc_id"])
+
+
+@query
+def op6_quality_rules(spark, sf_dir):
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    known = docs.join(labels.select("doc_id", "quality").where("quality IS NOT NULL"), "doc_id")
+    rules = qr.learn(qr.statistics(known).withColumn("bad", F.col("quality") == 0))
+    d = qr.statistics(docs).withColumn("base_failed", qr.base_failed())
+    kept = F.when(F.col("base_failed"), False).otherwise(qr.verdict(rules))
+    return d.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"))
+
+
+def vocabulary(name: str) -> str:
+    """Path of a public vocabulary file."""
+    import public_tokenizers
+    return public_tokenizers.path(name)
+
+
+@query
+def op7_token_counts(spark, sf_dir):
+    keep = [F.col("doc_id"), F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes")]
+    d = tc.count_tokens(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), keep)
+    return d.withColumn("over_limit", F.col("n_tokens") > 512)
+
+
+@query
+def op8_html_extract(spark, sf_dir):
+    d = he.extract(table(spark, sf_dir, "pages"), ["page_id", "url"])
+    return d.withColumn("n_chars", F.char_length("text").cast("long"))

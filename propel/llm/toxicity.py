@@ -40,13 +40,14 @@ def fit(labelled: DataFrame, max_rows: int = MAX_ROWS, epochs: int = 40, seed: i
     y = np.array([bool(r.y) for r in rows])
     feats = [np.asarray(r.f, np.int64) for r in rows]
     df = np.bincount(np.concatenate(feats), minlength=dim)
-    rare = (df > 0) & (df <= 0.2 * len(rows)) & (df >= 3)   # words of any signal that are not function words
-    feats = [f[rare[f]] for f in feats]
     pi = float(y.mean())
+    pdf = np.bincount(np.concatenate([f for f, p in zip(feats, y) if p]), minlength=dim)
+    # words that confirmed rows hold far more often than the unlabelled sample does
+    z_score = (pdf - df * pi) / np.sqrt(df * pi * (1 - pi) + 1e-9)
+    sign = (df >= 3) & (z_score > 4.0) & (pdf >= 3)
+    feats = [f[sign[f]] for f in feats]
     w, g2 = np.zeros(dim + 1), np.full(dim + 1, 1e-8)
-    pdf = np.bincount(np.concatenate([f for f, p in zip(feats, y) if p] or [np.zeros(0, np.int64)]), minlength=dim)
-    lift = np.log((pdf + 0.5 * pi) / (df * pi + 0.5 * pi))
-    w[:dim] = np.where(rare, lift, 0)                       # start: log ratio positive against unlabelled
+    w[:dim] = np.where(sign, np.log((pdf + 0.5) / (df * pi + 0.5)), 0)  # start: log ratio to the unlabelled rate
     w[-1] = -2.0
     flat = np.concatenate(feats) if feats else np.zeros(0, np.int64)
     row = np.repeat(np.arange(len(feats)), [len(f) for f in feats])
