@@ -72,7 +72,7 @@ def learn(rows: DataFrame) -> list:
     cuts = {f: v for f, v in cuts.items() if v}
     if not cuts:
         return []
-    bins = {f"b_{f}": F.size(F.filter(F.array(*[F.lit(float(x)) for x in v]), lambda x, f=f: x <= F.col(f))) for f, v in cuts.items()}
+    bins = {f"b_{f}": F.expr(" + ".join(f"int({f} >= {float(x)!r}D)" for x in v)) for f, v in cuts.items()}
     rows = cut(rows.withColumns(bins), "quality-bins")
     long = "stack({}, {}) AS (f, b)".format(len(cuts), ", ".join(f"'{f}', b_{f}" for f in cuts))
     rules = []
