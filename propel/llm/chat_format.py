@@ -68,7 +68,7 @@ def read_back(wins: DataFrame) -> DataFrame:
     d = wins.withColumn("t", F.expr("slice(split(text, '</s>\\n', -1), 1 + n_repeated, 1000000000)"))
     d = d.withColumn("t", F.expr("slice(t, 1, size(t) - 1)"))  # behind the last end mark stands nothing
     d = d.withColumn("r", F.transform("t", lambda x: F.regexp_extract(x, r"(?s)^<s>\[((?:[^\n\\]|\\.)*)\]\n", 1)))
-    body = F.transform("t", lambda x, i: F.substr(x, F.char_length(F.get(F.col("r"), i)) + 6))
+    body = F.transform("t", lambda x, i: F.substr(x, F.char_length(F.get(F.col("r"), i)) + 7))
     d = d.withColumn("b", body)
     said = F.array_join(F.transform("r", lambda x, i: F.concat(unescape(x), F.lit("\n"), unescape(F.get(F.col("b"), i)), F.lit("\n"))), "")
     aim = F.array_join(F.transform("loss", lambda x: unescape(F.substr(F.col("text"), x["start"].cast("int") + 1, x["length"].cast("int")))), "")
