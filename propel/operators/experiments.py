@@ -72,9 +72,9 @@ def auc_roc(df: DataFrame, label: str = "label", score: str = "score", buckets:
     from propel.session import materialize
     by_score = materialize(by_score)  # read by the bucket bounds and the running sums
     r = running_sums(by_score, ["_s"], ["_neg"], buckets=buckets, inclusive=False)  # negatives below
-    a = r.agg(F.sum(F.col("_pos") * (F.col("cum__neg") + 0.5 * F.col("_neg"))).alias("_u"),
+    a = r.agg(F.sum(F.col("_pos").cast("double") * (F.col("cum__neg") + 0.5 * F.col("_neg"))).alias("_u"),
               F.sum("_pos").alias("_p"), F.sum("_neg").alias("_n"))
-    return a.select(safe_div(F.col("_u"), F.col("_p") * F.col("_n")).alias("auc"),
+    return a.select(safe_div(F.col("_u"), F.col("_p").cast("double") * F.col("_n")).alias("auc"),
                     F.col("_p").alias("positives"), F.col("_n").alias("negatives"))
 
 

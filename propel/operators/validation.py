@@ -201,10 +201,11 @@ def request_rule_check(feedback: DataFrame, queue: DataFrame | None = None, scor
 def drift_means(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Mean of each column, status stable when mean > 0 else warning."""
     one = df.agg(*[F.avg(c).alias(f"m{i}") for i, c in enumerate(cols)])
-    arr = F.array(*[F.struct(F.lit(c).alias("feature"), F.round(F.col(f"m{i}"), 2).alias("current_mean"))
+    # the status looks at the raw mean; rounding is for display
+    arr = F.array(*[F.struct(F.lit(c).alias("feature"), F.round(F.col(f"m{i}"), 2).alias("current_mean"),
+                             F.when(F.col(f"m{i}") > 0, "stable").otherwise("warning").alias("status"))
                     for i, c in enumerate(cols)])
-    return one.select(F.inline(arr)).withColumn(
-        "status", F.when(F.col("current_mean") > 0, "stable").otherwise("warning"))
+    return one.select(F.inline(arr))
 
 
 def drift_vs_baseline(baseline: DataFrame, current: DataFrame, cols: Sequence[str], bins: int = 10,

@@ -289,7 +289,7 @@ DRIFT_COLS = ft.MODEL_COLUMNS[:5]
 @query("drift_means", RFM_MATRIX_STAGED_SQL.replace("\nSELECT customer_id,\n", ",\nm AS (SELECT customer_id,\n", 1)
        + ")\n" + "\nUNION ALL\n".join(
            f"SELECT '{c}' AS feature, {R(f'round(avg({c}), 2)', 'current_mean')}, "
-           f"CASE WHEN round(avg({c}), 2) > 0 THEN 'stable' ELSE 'warning' END AS status FROM m" for c in DRIFT_COLS))
+           f"CASE WHEN avg({c}) > 0 THEN 'stable' ELSE 'warning' END AS status FROM m" for c in DRIFT_COLS))
 def q_drift_means(t):
     return vd.drift_means(feature_matrix(t), DRIFT_COLS)
 

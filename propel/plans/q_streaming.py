@@ -243,18 +243,6 @@ def q_score_distribution(t):
     return mt.score_distribution(p, size="1 day")
 
 
-@query("throttle_label")
-def q_throttle_label(t):
-    r = t.request_log().select("event_id", "client", "ts")
-    return sf.throttle_label(r, limit=2, window_seconds=86400)
-
-
-@query("ttl_cache_label")
-def q_ttl_cache_label(t):
-    r = t.request_log().select("event_id", "client", "ts")
-    return sf.ttl_cache_label(r, ttl_seconds=6 * 3600)
-
-
 @query("feedback_stream_trigger", f"""
 SELECT id, {TS('created_at', 'created_at')},
   count(*) OVER (ORDER BY created_at, id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS running_count,

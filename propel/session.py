@@ -14,7 +14,6 @@ REQUIRED_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
-    "spark.sql.sources.partitionOverwriteMode": "dynamic",
 }
 
 
@@ -39,12 +38,11 @@ def build_session(master: str | None = None, shuffle_partitions: int = 8,
 
 
 def ensure_conf(spark: SparkSession) -> SparkSession:
-    """Pin the settings results depend on (UTC) on an existing session."""
+    """Pin the settings on an existing session; a session that refuses UTC raises, since
+    every result depends on it."""
     for k, v in REQUIRED_CONF.items():
-        try:
+        if spark.conf.get(k, None) != v:
             spark.conf.set(k, v)
-        except Exception:  # static or locked conf on a managed cluster
-            pass
     return spark
 
 
@@ -59,6 +57,8 @@ def shared_dir(spark: SparkSession, name: str = "") -> str:
             or sc.getConf().get("spark.checkpoint.dir", None)
             or sc.getCheckpointDir())
     if not base:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="propel-ckpt-")
         try:
             spark.conf.set("spark.checkpoint.dir", base)
@@ -78,46 +78,11 @@ def unique_dir(spark: SparkSession, name: str) -> str:
     return shared_dir(spark, f"{name}-{uuid.uuid4().hex[:12]}")
 
 
-MATERIALIZE_MIN_BYTES_CONF = "propel.materialize.minBytes"
-MATERIALIZE_MIN_BYTES = 1 << 30
-
-
-def estimated_bytes(df) -> int | None:
-    """Bytes of the files the plan reads (what a recomputation scans again).
-
-    Catalyst's own size estimate is not used: without cost-based statistics an
-    inner join is estimated as the product of its inputs.
-    """
-    try:
-        files = df.inputFiles()
-        if not files:
-            return None
-        sc = df.sparkSession.sparkContext
-        conf = sc._jsc.hadoopConfiguration()
-        total = 0
-        for f in files:
-            p = sc._jvm.org.apache.hadoop.fs.Path(f)
-            total += p.getFileSystem(conf).getFileStatus(p).getLen()
-        return int(total)
-    except Exception:
-        return None
-
-
-def materialize(df, how: str = "checkpoint", min_bytes: int | None = None):
-    """Cut lineage at ``df`` when the plan feeds several later passes.
-
-    Below ``min_bytes`` of estimated input (conf ``propel.materialize.minBytes``,
-    default 1 GiB) recomputing is cheaper than writing, and ``df`` is returned
-    as is. Above it the rows are written once into a fresh folder of the shared
-    checkpoint dir: a reliable ``checkpoint()`` (default) or a parquet table
-    (``how="table"``). Both survive executor loss, unlike a local checkpoint.
-    """
+def materialize(df, how: str = "checkpoint"):
+    """Cut lineage at ``df``, which feeds several later passes: a reliable ``checkpoint()``
+    or a parquet table (``how="table"``) in the shared folder, at every input size. Both
+    survive executor loss, unlike a local checkpoint."""
     spark = df.sparkSession
-    if min_bytes is None:
-        min_bytes = int(spark.conf.get(MATERIALIZE_MIN_BYTES_CONF, str(MATERIALIZE_MIN_BYTES)))
-    size = estimated_bytes(df)
-    if size is not None and size < min_bytes:
-        return df
     if how == "checkpoint":
         shared_dir(spark)
         return df.checkpoint(eager=True)

@@ -25,10 +25,10 @@ def rating_block_lines(ratings: DataFrame, salts: int = 1) -> DataFrame:
     written by several tasks; readers see ordinary repeated blocks."""
     r = ratings.withColumn("_s", (F.xxhash64("user_id") % salts + salts) % salts if salts > 1 else F.lit(0))
     heads = r.select("movie_id", "_s").distinct().select(
-        "movie_id", "_s", F.lit(0).alias("_k"), F.lit(None).cast("int").alias("_u"),
+        "movie_id", "_s", F.lit(0).alias("_k"), F.lit(None).cast("bigint").alias("_u"),
         F.lit(None).cast("timestamp").alias("_d"), F.concat(F.col("movie_id").cast("string"), F.lit(":")).alias("value"))
     rows = r.select(
-        "movie_id", "_s", F.lit(1).alias("_k"), F.col("user_id").cast("int").alias("_u"), F.col("date").alias("_d"),
+        "movie_id", "_s", F.lit(1).alias("_k"), F.col("user_id").cast("bigint").alias("_u"), F.col("date").alias("_d"),
         F.concat_ws(",", F.col("user_id").cast("string"), F.col("rating").cast("string"),
                     F.date_format("date", "yyyy-MM-dd")).alias("value"))
     return heads.unionByName(rows)
@@ -71,7 +71,7 @@ def read_rating_blocks(spark: SparkSession, path: str) -> DataFrame:
         F.try_element_at(parts, F.lit(1)).try_cast("bigint").alias("user_id"),
         F.coalesce("_in_split", "_carry").cast("bigint").alias("movie_id"),
         F.try_element_at(parts, F.lit(2)).try_cast("int").alias("rating"),
-        F.to_timestamp(F.trim(F.try_element_at(parts, F.lit(3))), "yyyy-MM-dd").alias("date"))
+        F.try_to_timestamp(F.trim(F.try_element_at(parts, F.lit(3))), F.lit("yyyy-MM-dd")).alias("date"))
     return out.where(F.col("user_id").isNotNull() & F.col("rating").isNotNull() & F.col("date").isNotNull())
 
 

@@ -72,13 +72,12 @@ def feedback_stream_trigger(spark: SparkSession, stream: DataFrame, out_path: st
     totals_path = out_path.rstrip("/") + "_totals"
 
     def process(batch: DataFrame, epoch_id: int):
+        at = spark._jvm.org.apache.hadoop.fs.Path(totals_path)
         prev = 0
-        try:
+        if at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):  # else: first epoch
             last = (spark.read.parquet(totals_path).where(F.col("epoch") < epoch_id)
                     .agg(F.max_by("total", "epoch")).first()[0])
             prev = int(last or 0)
-        except Exception:  # first epoch: no totals yet
-            prev = 0
         b = batch.select(*order).withColumn("_one", F.lit(1).cast("long"))
         r = running_sums(b, list(order), ["_one"], buckets=64)
         out = (r.withColumn("running_count", F.col("cum__one") + F.lit(prev))

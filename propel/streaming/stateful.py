@@ -1,22 +1,7 @@
-"""Order-dependent per-key labels: rate limiter and time-to-live cache.
-
-Both decisions depend on earlier decisions of the same key (denied requests
-do not count; hits do not extend the entry), so no window function says them.
-State per key is small and bounded (at most ``limit`` timestamps, or one
-timestamp), so:
-
-* batch: rows are hash-partitioned by key and sorted inside the partition;
-  ``mapInPandas`` walks the Arrow batches in order keeping only the per-key
-  state, so even a key with a third of all rows is streamed, never
-  materialised as one pandas group;
-* stream: ``applyInPandasWithState`` keeps the same state between
-  micro-batches (rows of a batch sorted by time and id before the loop).
-"""
+"""Per-key state over event streams: sustained alerts and absent sources."""
 
 from __future__ import annotations
 
-from collections import deque
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -32,128 +17,6 @@ def _micros(s: pd.Series) -> np.ndarray:
     return s.astype("datetime64[us]").astype("int64").to_numpy()
 
 
-# ---- rate limiter ----------------------------------------------------------------
-def _throttle_rows(keys, times, limit, window_us, state: dict):
-    """Walk rows in order; state: key -> deque of allowed times in the window."""
-    out = np.zeros(len(times), dtype=bool)
-    for i in range(len(times)):
-        k, now = keys[i], times[i]
-        q = state.get(k)
-        if q is None:
-            q = state[k] = deque()
-        while q and now - q[0] >= window_us:
-            q.popleft()
-        if len(q) < limit:
-            q.append(now)
-            out[i] = True
-    return out
-
-
-def throttle_label(df: DataFrame, key: str = "client", ts_col: str = "ts", order: str = "event_id",
-                   limit: int = 60, window_seconds: float = 60.0, partitions: int | None = None) -> DataFrame:
-    """Add ``allowed``: at most ``limit`` allowed requests per key in any trailing
-    ``window_seconds`` (denied requests do not count)."""
-    window_us = int(window_seconds * 1e6)
-    x = df.withColumn("_t", ts(ts_col))
-    x = (x.repartition(partitions, key) if partitions else x.repartition(key)).sortWithinPartitions(key, "_t", order)
-    schema = T.StructType(list(x.schema.fields) + [T.StructField("allowed", T.BooleanType())])
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        state: dict = {}
-        last_key = None
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            keys = pdf[key].to_numpy()
-            # keys arrive grouped; drop finished keys to keep the state small
-            if last_key is not None and keys[0] != last_key:
-                state.clear()
-            pdf["allowed"] = _throttle_rows(keys, _micros(pdf["_t"]), limit, window_us, state)
-            last_key = keys[-1]
-            for k in list(state):
-                if k != last_key:
-                    del state[k]
-            yield pdf
-    return x.mapInPandas(run, schema).drop("_t")
-
-
-# ---- time-to-live cache ---------------------------------------------------------------
-def _ttl_rows(keys, times, ttl_us, state: dict):
-    out = np.zeros(len(times), dtype=bool)
-    for i in range(len(times)):
-        k, now = keys[i], times[i]
-        miss_at = state.get(k)
-        if miss_at is not None and now - miss_at < ttl_us:
-            out[i] = True          # hit: does not extend the entry
-        else:
-            state[k] = now         # miss: the entry is (re)written
-    return out
-
-
-def ttl_cache_label(df: DataFrame, key: str = "client", ts_col: str = "ts", order: str = "event_id",
-                    ttl_seconds: float = 300.0, partitions: int | None = None) -> DataFrame:
-    """Add ``cache_hit``: true when the key's last miss is under ``ttl_seconds`` old."""
-    ttl_us = int(ttl_seconds * 1e6)
-    x = df.withColumn("_t", ts(ts_col))
-    x = (x.repartition(partitions, key) if partitions else x.repartition(key)).sortWithinPartitions(key, "_t", order)
-    schema = T.StructType(list(x.schema.fields) + [T.StructField("cache_hit", T.BooleanType())])
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        state: dict = {}
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            keys = pdf[key].to_numpy()
-            last = keys[-1]
-            pdf["cache_hit"] = _ttl_rows(keys, _micros(pdf["_t"]), ttl_us, state)
-            for k in list(state):
-                if k != last:
-                    del state[k]
-            yield pdf
-    return x.mapInPandas(run, schema).drop("_t")
-
-
-# ---- streaming forms -------------------------------------------------------------
-def throttle_label_stream(stream: DataFrame, key: str = "client", ts_col: str = "ts", order: str = "event_id",
-                          limit: int = 60, window_seconds: float = 60.0) -> DataFrame:
-    """Streaming limiter: per-key state (allowed times within the window) across micro-batches."""
-    window_us = int(window_seconds * 1e6)
-    cols = [key, order, ts_col]
-    x = stream.select(F.col(key), F.col(order), ts(ts_col).alias(ts_col))
-    out_schema = f"{key} {dict(x.dtypes)[key]}, {order} {dict(x.dtypes)[order]}, {ts_col} timestamp, allowed boolean"
-
-    def fn(k, pdfs, state: GroupState):
-        allowed = deque(int(v) for v in state.get[0]) if state.exists else deque()
-        for pdf in pdfs:
-            pdf = pdf.sort_values([ts_col, order]).reset_index(drop=True)
-            st = {k[0]: allowed}
-            pdf["allowed"] = _throttle_rows(np.full(len(pdf), k[0]), _micros(pdf[ts_col]), limit, window_us, st)
-            allowed = st[k[0]]
-            state.update(([int(v) for v in allowed],))
-            yield pdf[cols + ["allowed"]]
-    return x.groupBy(key).applyInPandasWithState(fn, out_schema, "allowed array<bigint>", "append",
-                                                 GroupStateTimeout.NoTimeout)
-
-
-def ttl_cache_label_stream(stream: DataFrame, key: str = "client", ts_col: str = "ts", order: str = "event_id",
-                           ttl_seconds: float = 300.0) -> DataFrame:
-    ttl_us = int(ttl_seconds * 1e6)
-    cols = [key, order, ts_col]
-    x = stream.select(F.col(key), F.col(order), ts(ts_col).alias(ts_col))
-    out_schema = f"{key} {dict(x.dtypes)[key]}, {order} {dict(x.dtypes)[order]}, {ts_col} timestamp, cache_hit boolean"
-
-    def fn(k, pdfs, state: GroupState):
-        st = {k[0]: state.get[0]} if state.exists else {}
-        for pdf in pdfs:
-            pdf = pdf.sort_values([ts_col, order]).reset_index(drop=True)
-            pdf["cache_hit"] = _ttl_rows(np.full(len(pdf), k[0]), _micros(pdf[ts_col]), ttl_us, st)
-            if k[0] in st:
-                state.update((int(st[k[0]]),))
-            yield pdf[cols + ["cache_hit"]]
-    return x.groupBy(key).applyInPandasWithState(fn, out_schema, "miss_at bigint", "append",
-                                                 GroupStateTimeout.NoTimeout)
-
-
 # ---- streaming forms of the alert operators -------------------------------------------
 def alert_sustained_stream(evals: DataFrame, rule: str = "rule", at: str = "window_end", cond: str = "condition",
                            for_seconds: float = 300) -> DataFrame:
