@@ -36,7 +36,7 @@ def targets(totals: DataFrame, weights=(5.0, 2.0, 1.0), share: float = 1.5, cap:
     return t.withColumn("target", F.least("top", F.lit(level or 0.0) * F.col("w")))
 
 
-def solve(hist: DataFrame, tgt: DataFrame, cap: float = 2.0, rounds: int = 60, tol: float = 1e-7) -> DataFrame:
+def solve(hist: DataFrame, tgt: DataFrame, cap: float = 2.0, rounds: int = 60, tol: float = 1e-5) -> DataFrame:
     """(source, lam, mean, target, source_size): dual variable of each source."""
     base = hist.groupBy("source").agg((F.sum(F.col("size") * F.col("n")) / F.sum("n")).alias("mean"),
                                       F.min(F.when(F.col("size") > 0, F.col("size"))).alias("least_size"))
