@@ -21,6 +21,8 @@ SYMBOLS = "#*$%&|<>"
 BLANK = " \t\n\x0b\f\r"
 FEATURES = ["words", "symbols_per_word", "caps_ratio", "bangs_per_word", "dup_line_ratio", "repeat_ratio", "word_length", "digit_ratio"]
 BINS, RULES, CONDITIONS, PRECISION = 32, 8, 3, 0.9
+#: labelled rows that the rules are learned from (smallest hash of the id first)
+MAX_LABELLED = 20_000
 
 
 def statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -34,10 +36,10 @@ def statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
     d = d.withColumn("n_dup_lines", (F.size("__l") - F.size(F.array_distinct("__l"))).cast("long"))
     # three-word windows as (hash, place), sorted: equal neighbours are repeats
     d = d.withColumn("__g", F.expr(
-        "CASE WHEN n_words < 4 THEN array() ELSE array_sort(transform(slice(__w, 1, size(__w) - 2), "
+        "CASE WHEN n_words < 4 THEN array() ELSE sort_array(transform(slice(__w, 1, size(__w) - 2), "
         "(x, i) -> struct(xxhash64(x, __w[i + 1], __w[i + 2]) AS h, i AS i))) END"))
     d = d.withColumn("__r", F.expr(
-        "array_sort(transform(filter(transform(__g, (x, i) -> struct(x.i AS i, "
+        "sort_array(transform(filter(transform(__g, (x, i) -> struct(x.i AS i, "
         "((i > 0 AND get(__g, i - 1).h = x.h) OR coalesce(get(__g, i + 1).h = x.h, false)) AS d)), x -> x.d), x -> x.i))"))
     d = d.withColumn("n_repeat_words", F.expr(
         "aggregate(transform(__r, (x, i) -> least(3, coalesce(get(__r, i + 1) - x, 3))), 0L, (a, x) -> a + x)"))
