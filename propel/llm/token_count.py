@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-CHUNK, MAX_STATES = 1 << 15, 200_000
+CHUNK, MAX_STATES = 1 << 15, 400_000
 
 
 def _byte_chars() -> dict[str, int]:
