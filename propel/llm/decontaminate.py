@@ -4,9 +4,10 @@ Every window of a text with the size of a benchmark item gets a 64-bit SimHash o
 words. Four 16-bit blocks of a multi-index, each searched within a quarter of the
 radius, reach all item fingerprints within ``RADIUS`` bits; exact weighted-shingle
 similarity (five words, weighted by count) then verifies. Windows in which too few
-words belong to the items to reach the similarity are skipped first (a necessary
-condition). Items are taken in blocks of bounded size. Null and empty texts and items
-match nothing; an item of fewer than five words must stand as the same words.
+shingles belong to any item to reach the similarity are skipped before they are
+fingerprinted (a necessary condition, so no match is lost). Items are taken in blocks of
+bounded size. Null and empty texts and items match nothing; an item of fewer than five
+words must stand as the same words.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from propel.llm.wordhash import ALNUM, iter_words, shingles
+from propel.llm.wordhash import ALNUM, combine, iter_words, shingles
 
 K, RADIUS, ITEM_BLOCK, PIECE = 5, 15, 20_000, 1 << 15
 
@@ -31,12 +32,32 @@ def _pack(x: np.ndarray) -> np.ndarray:
     return np.packbits(x > 0, axis=1).reshape(-1, 8).copy().view(np.uint64).ravel()
 
 
+class Members:
+    """Membership of hashes in a fixed set; a bit table turns most of them away."""
+
+    def __init__(self, parts: list[np.ndarray]):
+        self.values = np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
+        self.mask = np.uint64((1 << min(24, max(16, (16 * len(self.values)).bit_length()))) - 1)
+        self.gate = np.zeros(int(self.mask) + 1, bool)
+        self.gate[self.values & self.mask] = True
+
+    def counts(self, x: np.ndarray) -> np.ndarray:
+        """Members among the first i of ``x``, for i from 0 to len(x)."""
+        out = np.zeros(len(x) + 1, np.int64)
+        maybe = np.flatnonzero(self.gate[x & self.mask])
+        if len(maybe):
+            at = np.minimum(np.searchsorted(self.values, x[maybe]), len(self.values) - 1)
+            out[1 + maybe[self.values[at] == x[maybe]]] = 1
+        return np.cumsum(out)
+
+
 class Index:
     """Item fingerprints by length, with block tables that cover the radius."""
 
     def __init__(self, items: list[tuple[int, np.ndarray]], similarity: float):
         self.similarity, self.by_len = similarity, {}
-        self.vocab = np.unique(np.concatenate([h for _, h in items])) if items else np.zeros(0, np.uint64)
+        self.grams = Members([combine(h, K) for _, h in items if len(h) >= K])
+        self.words = Members([h for _, h in items if len(h) < K])  # short items match word by word
         near = [0] + [sum(1 << b for b in c) for r in range(1, RADIUS // 4 + 1) for c in combinations(range(16), r)]
         near = np.array(near, np.uint16)
         for n in sorted({len(h) for _, h in items}):
@@ -55,14 +76,20 @@ class Index:
         least = np.minimum(grams[1][x], c[y]).sum()
         return least / (grams[1].sum() + c.sum() - least)
 
+    def possible(self, h: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+        """Per text (words bounds[i] to bounds[i + 1] of ``h``): whether any shingle or word of an item is in it."""
+        grams, words = self.grams.counts(combine(h, K)), self.words.counts(h)
+        lo = np.minimum(bounds[:-1], len(grams) - 1)
+        hi = np.clip(bounds[1:] - K + 1, lo, len(grams) - 1)
+        return (grams[hi] > grams[lo]) | (words[bounds[1:]] > words[bounds[:-1]])
+
     def search(self, h: np.ndarray):
         """Best (item, start, words, similarity) per item over the words of one text."""
         best: dict = {}
-        if not len(h) or not len(self.vocab):
+        if not len(h) or not self.by_len:
             return []
         longest = max(self.by_len)
-        at = np.searchsorted(self.vocab, h)
-        known = np.concatenate([[0], np.cumsum(self.vocab[np.minimum(at, len(self.vocab) - 1)] == h)])
+        by_gram, by_word = self.grams.counts(combine(h, K)), self.words.counts(h)
         for lo in range(0, len(h), PIECE):
             part = h[lo:lo + PIECE + longest - 1]
             sums = None
@@ -70,7 +97,8 @@ class Index:
                 m = min(len(part) - n + 1, PIECE)
                 if m <= 0:
                     continue
-                start = np.flatnonzero(known[lo + n:lo + n + m] - known[lo:lo + m] >= need)
+                known, w = (by_word, n) if n < K else (by_gram, n - K + 1)
+                start = np.flatnonzero(known[lo + w:lo + w + m] - known[lo:lo + m] >= need)
                 if not len(start):
                     continue
                 if sums is None:
@@ -110,8 +138,9 @@ def _rows(bc, matches: bool):
         for b in batches:
             ids, hits, keep = b.column(0), [], []
             for first, rows, h, bd in iter_words(b.column(1), ALNUM):
+                some = index.possible(h, bd)
                 for i in range(rows):
-                    got = index.search(h[bd[i]:bd[i + 1]])
+                    got = index.search(h[bd[i]:bd[i + 1]]) if some[i] else []
                     keep.append(not got)
                     hits += [(ids[first + i].as_py(), *x) for x in got]
             if matches:
