@@ -3,8 +3,10 @@
 A linear numpy classifier over hashed words is trained from confirmed toxic rows
 plus unlabelled rows (their labels are hidden) with the non-negative risk
 ``pi * R_p(+) + max(0, R_u(-) - pi * R_p(-))``; ``pi`` is the class prior. At most
-``max_rows`` rows (smallest hash first) train it; every text is scored whole.
-Null and empty texts have no words and get the bias alone.
+``max_rows`` labelled ids (smallest hash first) train it: they are chosen before any
+text is read, so no text is shuffled. Every text is scored whole. Null and empty texts
+have no words and get the bias alone. An id with several labels counts as toxic if one
+says so; of several rows with one id, the one with the smallest feature list trains.
 """
 
 from __future__ import annotations
@@ -26,14 +28,13 @@ def _features(h: np.ndarray) -> np.ndarray:
 def _feature_batches(batches):
     for b in batches:
         out = [_features(h[bd[i]:bd[i + 1]]) for _, rows, h, bd in iter_words(b.column(1), WHITE) for i in range(rows)]
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.list_(pa.int64()))], ["y", "f"])
+        yield pa.RecordBatch.from_arrays([b.column(2), b.column(0), pa.array(out, pa.list_(pa.int64()))], ["doc_id", "y", "f"])
 
 
-def fit(labelled: DataFrame, max_rows: int = MAX_ROWS, epochs: int = 40, seed: int = 7) -> np.ndarray:
-    """Weights (bias last) from rows (text, y); y = 1 confirmed toxic. All rows together
-    are the unlabelled sample; their share of y = 1 is the class prior."""
-    part = labelled.orderBy(F.xxhash64("text", "y"), "text").limit(max_rows)
-    rows = part.select(F.col("y").cast("int"), F.col("text")).mapInArrow(_feature_batches, "y int, f array<long>").collect()
+def fit(labelled: DataFrame, epochs: int = 40) -> np.ndarray:
+    """Weights (bias last) from the rows (y, f) of :func:`training_rows`; y = 1 confirmed toxic.
+    All rows together are the unlabelled sample; their share of y = 1 is the class prior."""
+    rows = sorted(labelled.select("y", "f").collect(), key=lambda r: (r.y, r.f))  # at most max_rows
     dim = 1 << BITS
     if not rows or not any(r.y for r in rows):
         return np.append(np.zeros(dim), -5.0)
@@ -91,8 +92,12 @@ def score(docs: DataFrame, weights: np.ndarray, keep: list[str], text_col: str =
     return src.mapInArrow(_score_batches(bc), f"{schema}, score double")
 
 
-def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(text, y) of labelled rows in the learning folds: crc32(doc_id as text) mod 5 is not 0."""
-    lab = labels.select("doc_id", F.col("toxic").alias("y")).where("toxic IS NOT NULL")
-    lab = lab.where(F.crc32(F.col("doc_id").cast("string")) % 5 != 0)
-    return docs.select("doc_id", "text").join(lab, "doc_id").select("text", "y")
+def training_rows(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
+    """(doc_id, y, f) of at most ``max_rows`` labelled ids in the learning folds: crc32(doc_id
+    as text) mod 5 is not 0. f: the hashed words of the text."""
+    lab = labels.where("toxic IS NOT NULL").where(F.crc32(F.col("doc_id").cast("string")) % 5 != 0)
+    lab = lab.groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("y"))
+    some = lab.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
+    rows = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id")  # max_rows ids and labels
+    feats = rows.select("y", "text", F.col("doc_id").cast("long")).mapInArrow(_feature_batches, "doc_id long, y int, f array<long>")
+    return feats.groupBy("doc_id").agg(F.max("y").alias("y"), F.min("f").alias("f"))

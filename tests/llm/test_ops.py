@@ -12,7 +12,7 @@ import pytest
 from conftest import SF_SMALL
 
 import __spark_entry__ as E
-from propel.llm import chat_format, decontaminate, entropy_mix, license_scan, near_dedup, quality_rules, shard, token_count
+from propel.llm import chat_format, decontaminate, entropy_mix, license_scan, near_dedup, quality_rules, shard, token_count, toxicity
 from propel.llm import queries as Q
 
 WHITE = r"[^\x20\x09-\x0D]+"
@@ -182,3 +182,18 @@ def test_pipeline(spark):
     n = pq.read_metadata(f"{SF_SMALL}/documents.parquet").num_rows
     assert 0 < E.queries()["pipeline"](spark, SF_SMALL).count() <= 2 * n
     assert sys.modules["corpus_pipeline"].ORACLE_SQL is None
+
+
+def test_toxicity_bounded_sample_and_held_out(spark):
+    labels = {r["doc_id"]: r["toxic"] for r in pq.read_table(f"{SF_SMALL}/labels.parquet").to_pylist()}
+    got = {r.doc_id: r for r in Q.QUERIES["op9_toxicity"](spark, SF_SMALL).collect()}
+    assert set(got) == {r["doc_id"] for r in docs()}
+    assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) for r in got.values())
+    held = [(got[d].predicted, y) for d, y in labels.items() if y is not None and d in got and got[d].held_out]
+    assert held and sum(p == y for p, y in held) >= 0.9 * len(held)
+    d = spark.createDataFrame([(1, "a b"), (1, "a b c"), (2, None), (3, "x")], "doc_id long, text string")
+    lab = spark.createDataFrame([(1, 0), (1, 1), (2, 0), (3, None), (4, 1)], "doc_id long, toxic int")
+    rows = toxicity.training_rows(d, lab).collect()
+    assert len(rows) <= 3 and len({r.doc_id for r in rows}) == len(rows) and 3 not in {r.doc_id for r in rows}
+    assert toxicity.training_rows(d, lab, max_rows=1).count() <= 1
+    assert toxicity.score(d, toxicity.fit(toxicity.training_rows(d.limit(0), lab)), ["doc_id"]).count() == 4
