@@ -74,6 +74,25 @@ def test_near_dedup_hot_list_and_edges(spark):
     assert near_dedup.near_duplicates(df.limit(0)).count() == 0
 
 
+@pytest.mark.xfail(reason="known fault: links between two non-hubs of a long list can be lost", strict=False)
+def test_near_dedup_second_round(spark):
+    """A group of near copies with one to eight edits, so that hubs do not join all, and texts around one passage."""
+    rng = random.Random(11)
+    base, passage, rows = [f"w{i}" for i in range(140)], [f"p{i}" for i in range(60)], []
+    for i in range(160):
+        w = list(base)
+        for at in rng.sample(range(140), 1 + i % 8):
+            w[at] = f"x{i}_{at}"
+        rows.append((i, " ".join(w)))
+    for i in range(80):
+        own = [f"o{i // 2}_{j}" for j in range(50)]
+        rows.append((500 + i, " ".join(own + passage + [f"end{i}"])))
+    ids, ss = [r[0] for r in rows], sets([r[1] for r in rows], 4)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.id, r.component_id) for r in near_dedup.near_duplicates(df, k=4).collect())
+    assert got == sorted(zip(ids, roots(ids, ss)))
+
+
 def test_token_counts_match_library():
     tokenizers = pytest.importorskip("tokenizers")
     path = Q.vocabulary("byte_bpe_50k.json")
