@@ -2,10 +2,12 @@
 
 Each page becomes a light DOM (numpy-free Python inside tasks). A node's density is its
 characters per tag, lowered by the share of its characters that stand in links; the
-density sum of a node adds up its children. The subtree with the largest sum is the
-content; the least density on its path to the body is the threshold, and any other
-top-level node at or above it that is no boilerplate element counts as content as well.
-Boilerplate elements (navigation, forms, adverts, comments and the like) are cut first.
+density sum of a node adds up its children. The subtree with the largest sum, widened to
+an enclosing article or main element, is content; the least density on its path to the body
+is the threshold, and every other node at or above it counts as content as well. Short
+pieces fall below any density, so siblings of content go with it: headings, paragraphs and
+other text elements, and elements of the same tag and class, each with less than a quarter
+of its characters in links. All content comes in page order. Boilerplate elements (navigation, forms, adverts, comments and the like) are cut first.
 
 Null or empty html gives an empty text. Unclosed, stray and truncated tags are tolerated.
 """
@@ -21,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # fixed values: HTML element classes
+FLOW = set("h1 h2 h3 h4 h5 h6 p blockquote pre ul ol dl table figure".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = ("script", "style", "noscript", "template", "textarea", "title", "iframe", "svg", "select", "button")
 CUT = set("head nav footer aside form header menu dialog figure".split()) | set(RAW)
@@ -32,10 +35,10 @@ SPACE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("tag", "kids", "up", "cut", "chars", "links", "tags", "ltags", "density", "sum")
+    __slots__ = ("tag", "kids", "up", "cut", "cls", "chars", "links", "tags", "ltags", "density", "sum")
 
-    def __init__(self, tag, up, cut=False):
-        self.tag, self.up, self.kids, self.cut = tag, up, [], cut
+    def __init__(self, tag, up, cut=False, cls=""):
+        self.tag, self.up, self.kids, self.cut, self.cls = tag, up, [], cut, cls
 
 
 def parse(page: str) -> Node:
@@ -68,16 +71,17 @@ def parse(page: str) -> Node:
                 x = x.up
             if x is not top and (x.tag == "p" or x.tag == tag and tag in ("li", "td", "th", "tr", "dt", "dd")):
                 at = x.up
-        bad = tag in CUT
+        bad, cls = tag in CUT, ""
         if not bad and m[4].strip():
             for a in ATTR.finditer(m[4]):
                 k, v = a[1].lower(), a[2] or a[3] or a[4] or ""
+                cls = v if k == "class" else cls
                 bad |= k == "hidden" or k == "aria-hidden" and v == "true" or k in ("class", "id", "role") and bool(BOILER.search(v))
         if tag in ("body", "html", "main", "article"):
             bad = False
         if tag == "header" and any(a.tag in ("article", "main") for a in _path(at)):
             bad = False
-        x = Node(tag, at, bad)
+        x = Node(tag, at, bad, cls)
         at.kids.append(x)
         if tag not in VOID and not m[4].endswith("/"):
             at = x
@@ -101,8 +105,38 @@ def _order(top):
     return out
 
 
+def _content(best, holder):
+    """``holder`` and all other nodes that count as content: at or above the least density
+    between ``best`` and the body, or siblings of content."""
+    path = []
+    for x in _path(best):
+        if x.tag in ("#", "html"):
+            break
+        path.append(x)
+        if x.tag == "body":
+            break
+    if not path:
+        return {holder}
+    least = min(x.density for x in path)
+    above = set(_path(holder))
+    found, todo = {holder}, [path[-1]]
+    while todo:
+        x = todo.pop()
+        if x is holder or x.cut:
+            continue
+        if x not in above and x.chars and x.density >= least > 0:
+            found.add(x)
+        else:
+            todo += [k for k in x.kids if isinstance(k, Node)]
+    for up in {x.up for x in found if x.up is not None and x is not path[-1]}:
+        kids = [k for k in up.kids if isinstance(k, Node) and not k.cut]
+        like = {(k.tag, k.cls) for k in kids if k in found}
+        found.update(k for k in kids if k not in above and 4 * k.links < k.chars and (k.tag in FLOW or (k.tag, k.cls) in like))
+    return found
+
+
 def main_text(page: str) -> str:
-    """The article of one page, its blocks joined by one space."""
+    """The content of one page, its blocks joined by one space."""
     if not page:
         return ""
     top = parse(page)
@@ -133,8 +167,17 @@ def main_text(page: str) -> str:
             out.append(t)
         line.clear()
 
-    todo = [holder]
-    while todo:
+    found = _content(best, holder)
+    todo, start = [], [holder if holder.tag in ("#", "html") else top]
+    while start or todo:
+        if not todo:
+            x = start.pop()
+            if x in found:
+                close()
+                todo.append(x)
+            elif not x.cut:
+                start += [k for k in reversed(x.kids) if isinstance(k, Node)]
+            continue
         x = todo.pop()
         if isinstance(x, str):
             line.append(x)

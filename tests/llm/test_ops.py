@@ -12,7 +12,7 @@ import pytest
 from conftest import SF_SMALL
 
 import __spark_entry__ as E
-from propel.llm import chat_format, decontaminate, entropy_mix, license_scan, near_dedup, quality_rules, shard, token_count, toxicity
+from propel.llm import chat_format, decontaminate, entropy_mix, html_extract, license_scan, near_dedup, quality_rules, shard, token_count, toxicity
 from propel.llm import queries as Q
 
 WHITE = r"[^\x20\x09-\x0D]+"
@@ -197,6 +197,24 @@ def test_extract(spark):
         assert got[p["page_id"]] == " ".join(filter(None, parts))
 
 
+def prose(k, words=40):
+    return " ".join(f"w{k}x{i}" for i in range(words)) + "."
+
+
+def test_extract_siblings_without_article():
+    links = "<div class='l'>" + "".join(f"<a href='/{i}'>page number {i}</a>" for i in range(9)) + "</div>"
+    para = [f"<p>{prose(k)}</p>" for k in range(9)]
+    text = [prose(k) for k in range(9)]
+    two = f"<html><body>{links}<div>{''.join(para[:6])}</div><div>{''.join(para[6:])}</div>{links}</body></html>"
+    assert html_extract.main_text(two) == " ".join(text)
+    lead = f"<body>{links}<h1>Short head</h1><p>A lead.</p><div id=b>{''.join(para)}</div><p>End.</p></body>"
+    assert html_extract.main_text(lead) == " ".join(["Short head", "A lead.", *text, "End."])
+    deep = f"<body><div><div>{''.join(para[:5])}</div></div><td>{links}<section>{''.join(para[5:])}</section>{links}</td></body>"
+    assert html_extract.main_text(deep) == " ".join(text)
+    main = f"<body>{links}<main><h2>Head</h2><article>{''.join(para)}</article></main></body>"
+    assert html_extract.main_text(main) == " ".join(["Head", *text])
+
+
 def test_pipeline(spark):
     n = pq.read_metadata(f"{SF_SMALL}/documents.parquet").num_rows
     assert 0 < E.queries()["pipeline"](spark, SF_SMALL).count() <= 2 * n
