@@ -7,7 +7,14 @@ an enclosing article or main element, is content; the least density on its path
 is the threshold, and every other node at or above it counts as content as well. Short
 pieces fall below any density, so siblings of content go with it: headings, paragraphs and
 other text elements, and elements of the same tag and class, each with less than a quarter
-of its characters in links. All content comes in page order. Boilerplate elements (navigation, forms, adverts, comments and the like) are cut first.
+of its characters in links. All content comes in page order.
+
+Boilerplate elements (navigation, forms and the like, and hidden ones) are cut first. A class,
+id or role counts as a boilerplate name only if all its parts do. An element so named as
+an advert, comments or the like is cut; other names (menu, related, notice) cut
+where a third of the characters stand in links, and halve the density elsewhere. No name
+cuts what holds every article and main element or, on pages without any, at least half of
+the characters with less than a third in links.
 
 Null or empty html gives an empty text. Unclosed, stray and truncated tags are tolerated.
 """
@@ -26,19 +33,34 @@ from pyspark.sql import functions as F
 FLOW = set("h1 h2 h3 h4 h5 h6 p blockquote pre ul ol dl table figure".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = ("script", "style", "noscript", "template", "textarea", "title", "iframe", "svg", "select", "button")
-CUT = set("head nav footer aside form header menu dialog figure".split()) | set(RAW)
-BLOCK = set("address article blockquote body br center dd details div dl dt fieldset figcaption h1 h2 h3 h4 h5 h6 hr html li main ol p pre section summary table tbody td tfoot th thead tr ul".split())
-BOILER = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|cookies?|consent|notice|comments?|disqus|sidebar|side|menu|nav\w*|footer|header|breadcrumbs?|share|social|related|newsletter|subscribe|popup|modal|login|widget)(?:$|[\s_-])", re.I)
+CUT = set("head nav footer aside form header menu dialog".split()) | set(RAW)
+BLOCK = set("address article blockquote body br center dd details div dl dt fieldset figcaption figure h1 h2 h3 h4 h5 h6 hr html li main ol p pre section summary table tbody td tfoot th thead tr ul".split())
+STRONG = set("ad ads advert adverts advertisement advertising sponsor sponsored sponsors promo promos promotion newsletter popup disqus comment comments sidebar".split())
+WEAK = set("banner notice side menu nav navbar navigation footer header breadcrumb breadcrumbs share sharing social related modal login widget widgets contentinfo search".split())
+TOPIC = set("cookie cookies consent subscribe".split())
+FILL = set("site page top bottom left right box bar list item items link links post posts slot area section container wrapper wrap block buttons icons main".split())
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
-ATTR = re.compile(r"\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
+ATTR = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 SPACE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("tag", "kids", "up", "cut", "cls", "chars", "links", "tags", "ltags", "density", "sum")
+    __slots__ = ("tag", "kids", "up", "cut", "cls", "name", "arts", "chars", "links", "tags", "ltags", "density", "sum")
+
+    def __init__(self, tag, up, cut=False, cls="", name=0):
+        self.tag, self.up, self.kids, self.cut, self.cls, self.name = tag, up, [], cut, cls, name
+
 
-    def __init__(self, tag, up, cut=False, cls=""):
-        self.tag, self.up, self.kids, self.cut, self.cls = tag, up, [], cut, cls
+def name_level(value: str, anchor: bool = False) -> int:
+    """2: names an advert, comments or the like, 1: another boilerplate name, 0: none. As an
+    ``anchor`` (an id), one word of TOPIC may be what a section is about."""
+    level = 0
+    for word in value.lower().split():
+        parts = [w for w in re.split(r"[_-]+|\d+", word) if w and w not in FILL]
+        if parts and all(w in STRONG or w in WEAK or w in TOPIC for w in parts):
+            sure = len(parts) > 1 or parts[0] in STRONG or parts[0] in TOPIC and not anchor
+            level = max(level, 2 if sure else 1)
+    return level
 
 
 def parse(page: str) -> Node:
@@ -71,17 +93,20 @@ def parse(page: str) -> Node:
                 x = x.up
             if x is not top and (x.tag == "p" or x.tag == tag and tag in ("li", "td", "th", "tr", "dt", "dd")):
                 at = x.up
-        bad, cls = tag in CUT, ""
+        bad, cls, name = tag in CUT, "", 0
         if not bad and m[4].strip():
             for a in ATTR.finditer(m[4]):
                 k, v = a[1].lower(), a[2] or a[3] or a[4] or ""
-                cls = v if k == "class" else cls
-                bad |= k == "hidden" or k == "aria-hidden" and v == "true" or k in ("class", "id", "role") and bool(BOILER.search(v))
+                if k == "class":
+                    cls = v
+                if k in ("class", "id", "role"):
+                    name = max(name, name_level(v, k == "id"))
+                bad |= k == "hidden" or k == "aria-hidden" and v.lower() == "true"
         if tag in ("body", "html", "main", "article"):
-            bad = False
+            bad, name = False, 0
         if tag == "header" and any(a.tag in ("article", "main") for a in _path(at)):
             bad = False
-        x = Node(tag, at, bad, cls)
+        x = Node(tag, at, bad, cls, name)
         at.kids.append(x)
         if tag not in VOID and not m[4].endswith("/"):
             at = x
@@ -105,6 +130,25 @@ def _order(top):
     return out
 
 
+def _named(top, nodes):
+    """The nodes left when elements are cut by their names; a name that does not hold is taken away."""
+    if not any(x.name for x in nodes):
+        return nodes
+    for x in reversed(nodes):
+        sub = [k for k in x.kids if isinstance(k, Node) and not k.cut]
+        x.chars = sum(len(k.strip()) for k in x.kids if isinstance(k, str)) + sum(k.chars for k in sub)
+        x.links = x.chars if x.tag == "a" else sum(k.links for k in sub)
+        x.arts = (x.tag in ("article", "main")) + sum(k.arts for k in sub)
+    for x in nodes:
+        if x.name:
+            dense = 0 < x.chars <= 3 * x.links
+            if x.arts == top.arts if top.arts else 2 * x.chars >= top.chars and not dense:
+                x.name = 0
+            elif x.name == 2 or dense:
+                x.cut = True
+    return _order(top)
+
+
 def _content(best, holder):
     """``holder`` and all other nodes that count as content: at or above the least density
     between ``best`` and the body, or siblings of content."""
@@ -140,7 +184,7 @@ def main_text(page: str) -> str:
     if not page:
         return ""
     top = parse(page)
-    nodes = _order(top)
+    nodes = _named(top, _order(top))
     for x in reversed(nodes):
         own = sum(len(k.strip()) for k in x.kids if isinstance(k, str))
         sub = [k for k in x.kids if isinstance(k, Node) and not k.cut]
@@ -155,6 +199,8 @@ def main_text(page: str) -> str:
         base = math.log(x.chars / free * x.links + ratio * x.chars + math.e)
         x.density = 0.0 if not x.chars else x.chars / tags * math.log(max(x.chars / max(x.links, 1) * tags / max(x.ltags, 1), 1.0), max(base, 1.01))
         x.sum = sum(k.density for k in x.kids if isinstance(k, Node) and not k.cut) + sum(len(k.strip()) for k in x.kids if isinstance(k, str))
+        if x.name:
+            x.density, x.sum = x.density / 2, x.sum / 2
     best = max((x for x in nodes if x.tag not in ("#", "html")), key=lambda x: x.sum, default=top)
     if best.tag in ("p", "h1", "h2", "h3", "b", "i", "em", "strong", "span", "a", "li", "td", "tr", "blockquote"):
         best = next((a for a in _path(best) if a.tag in ("article", "main", "section", "div", "body", "td")), best)

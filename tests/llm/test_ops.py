@@ -215,6 +215,23 @@ def test_extract_siblings_without_article():
     assert html_extract.main_text(main) == " ".join(["Head", *text])
 
 
+def test_extract_names_are_no_verdict():
+    text = [prose(k) for k in range(4)]
+    body = "".join(f"<p>{t}</p>" for t in text)
+    for attr in ('style="overflow:hidden"', "data-id='nav-1'", "data-class=comments", 'title="x class=ad hidden"', 'class="has-sidebar"',
+                 'class="page header-fixed"', "id=sidebar", 'class="widget"', "id=side-effects"):
+        assert html_extract.main_text(f"<body><div {attr}>{body}</div></body>") == " ".join(text), attr
+        assert html_extract.main_text(f"<body><div {attr}><article>{body}</article></div></body>") == " ".join(text), attr
+    for name in ("side-effects", "social-history", "related-work", "navier-stokes", "menu", "cookies"):
+        page = f"<body><article><p>{text[0]}</p><section id='{name}'><p>{text[1]}</p></section><p>{text[2]}</p></article></body>"
+        assert html_extract.main_text(page) == " ".join(text[:3]), name
+    fig = f"<article><p>{text[0]}</p><figure><table><tr><td>1</td></tr></table><figcaption>Cap.</figcaption></figure></article>"
+    assert html_extract.main_text(f"<body>{fig}</body>") == f"{text[0]} 1 Cap."
+    junk = "<div class='ad'>Buy.</div><div id=comments-list><p>Nice post.</p></div><div class='nav-links'><a href='/'>Home</a></div><div class=cookie-banner>We use cookies.</div><p hidden>no</p><p aria-hidden=true>no</p>"
+    assert html_extract.main_text(f"<body>{junk}<article><p>{text[0]}</p>{junk}</article>{junk}</body>") == text[0]
+    assert html_extract.main_text(f"<body>{junk}<div>{body}{junk}</div>{junk}</body>") == " ".join(text)
+
+
 def test_pipeline(spark):
     n = pq.read_metadata(f"{SF_SMALL}/documents.parquet").num_rows
     assert 0 < E.queries()["pipeline"](spark, SF_SMALL).count() <= 2 * n
