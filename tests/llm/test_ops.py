@@ -122,6 +122,31 @@ def test_chat_round_trip(spark):
         assert (r.n_turns, r.loss_chars, r.loss_sha256) == (len(own), len(aim), hashlib.sha256(aim.encode()).hexdigest())
 
 
+def test_chat_windows_keep_the_budget(spark):
+    rng = random.Random(5)
+    turns = [(1, i, "assistant" if i % 2 else "user", "w " * 296) for i in range(60)]  # the 41st to 46th end in one stretch of 1536
+    turns += [(2, 0, "system", "s " * 400)] + [(2, i, "assistant" if i % 2 else "user", "w " * rng.randint(0, 900)) for i in range(1, 200)]
+    turns += [(3, 0, "system", "s " * 1700)] + [(3, i, "assistant" if i % 2 else "user", "w " * rng.choice((3, 60, 500, 3000))) for i in range(1, 60)]
+    turns += [(4, 0, "system", "s " * 5000)] + [(4, i, "assistant" if i % 2 else "user", "w " * 100) for i in range(1, 40)]
+    turns += [(5, 0, "system", "s " * 9)] + [(5, i, "assistant" if i % 2 else "user", "w") for i in range(1, 2000)]
+    turns += [(6, 0, "system", "s " * 9), (6, 1, "assistant", "w " * 1900)]
+    df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
+    wins = chat_format.windows(df)
+    got = {r.conv_id: r for r in chat_format.read_back(wins).collect()}
+    rows = sorted(wins.collect(), key=lambda r: (r.conv_id, r.win))
+    for c in range(1, 7):
+        own = [t for t in turns if t[0] == c]
+        said = "".join(f"{t[2]}\n{t[3]}\n" for t in own)
+        assert (got[c].n_turns, got[c].turns_sha256) == (len(own), hashlib.sha256(said.encode()).hexdigest())
+    for r in rows:
+        sizes = [len(p.split("]\n", 1)[1].split()) + chat_format.TURN for p in r.text.split("</s>\n")[:-1]]
+        assert sum(sizes) <= chat_format.BUDGET or len(sizes) == 1, (r.conv_id, r.win, sum(sizes))
+        system = r.text.startswith("<s>[system]")
+        assert sum(sizes[system:r.n_repeated]) <= chat_format.HISTORY
+        assert system or r.conv_id in (1, 4) or r.conv_id == 3 and max(sizes) > 400
+    assert sum(r.conv_id == 5 for r in rows) <= 2 * 10000 // 1500 and sum(r.conv_id == 6 for r in rows) == 1
+
+
 def test_license_base(spark):
     phrases = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
     rows = docs() + [{"doc_id": -1, "text": "CC-BY cc by, MIT License. Licensed under the Apache License, Version 2.0"}, {"doc_id": -2, "text": None}]
