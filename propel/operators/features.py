@@ -159,8 +159,8 @@ def category_preference(ratings: DataFrame, flags: DataFrame,
 
 
 def rating_years(ratings: DataFrame) -> list[int]:
-    """Distinct rating years (a handful of values; one small aggregate)."""
-    return sorted(r[0] for r in ratings.select(F.year(ts("date")).alias("y")).distinct().collect())
+    """Distinct rating years (a handful of values; one small aggregate); rows without a date have none."""
+    return sorted(r[0] for r in ratings.select(F.year(ts("date")).alias("y")).where("y IS NOT NULL").distinct().collect())
 
 
 def yearly_activity(ratings: DataFrame, years: Sequence[int] | None = None) -> DataFrame:

@@ -16,7 +16,7 @@ FIXTURE_CATEGORY_PATTERNS = {
     "scifi": "new|plate",
     "horror": "anvil|rod",
 }
-FIXTURE_YEARS = list(range(1995, 2002))
+FIXTURE_YEARS = list(range(1995, 2002))  # of the SQL only; the queries take the years from the data
 AS_OF = AS_OF_CUSTOMER
 
 RATING_CORE_SQL = f"""
@@ -120,7 +120,7 @@ def _years_sql():
 
 @query("yearly_activity", f"SELECT user_id, {_years_sql()} FROM ratings GROUP BY user_id")
 def q_yearly_activity(t):
-    return ft.yearly_activity(t.ratings(), FIXTURE_YEARS)
+    return ft.yearly_activity(t.ratings())
 
 
 @query("activity_trend", f"""
@@ -128,7 +128,8 @@ SELECT *, {R(f'(y{max(FIXTURE_YEARS)} - y{min(FIXTURE_YEARS)}) / (y{min(FIXTURE_
              'trend_growth')}
 FROM (SELECT user_id, {_years_sql()} FROM ratings GROUP BY user_id)""")
 def q_activity_trend(t):
-    return ft.activity_trend(ft.yearly_activity(t.ratings(), FIXTURE_YEARS), FIXTURE_YEARS)
+    years = ft.rating_years(t.ratings())
+    return ft.activity_trend(ft.yearly_activity(t.ratings(), years), years)
 
 
 @query("early_adopter_flag", f"""
@@ -146,7 +147,7 @@ FROM (SELECT user_id, {_years_sql()}, count(*) AS total_ratings,
              CAST(min(date) <= TIMESTAMP '1995-06-30 00:00:00' AS INT) AS is_early_adopter
       FROM ratings GROUP BY user_id)""")
 def q_temporal_segments(t):
-    return ft.temporal_segments(t.ratings(), FIXTURE_YEARS, cutoff="1995-06-30 00:00:00")
+    return ft.temporal_segments(t.ratings(), ft.rating_years(t.ratings()), cutoff="1995-06-30 00:00:00")
 
 
 def _readiness_sql():

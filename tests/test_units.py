@@ -320,3 +320,20 @@ def test_shared_folder_is_demanded_on_a_cluster():
     fake = SimpleNamespace(sparkContext=sc, conf=SimpleNamespace(get=lambda *a: None))
     with pytest.raises(ValueError):
         shared_dir(fake)
+
+
+def test_yearly_keys_take_their_years_from_the_data(spark, tmp_path):
+    from conftest import SF_SMALL
+    import __spark_entry__ as E
+    later = F.col("l_shipdate") + F.expr("INTERVAL 9 YEARS")
+    li = spark.read.parquet(f"{SF_SMALL}/lineitem.parquet")
+    shift = F.when(F.col("l_orderkey") % 2 == 0, later).when(F.col("l_orderkey") % 7 != 0, F.col("l_shipdate"))
+    li.withColumn("l_shipdate", shift.cast(li.schema["l_shipdate"].dataType)).write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.read.parquet(f"{SF_SMALL}/orders.parquet").write.parquet(f"{tmp_path}/orders.parquet")
+    dated = spark.read.parquet(f"{tmp_path}/lineitem.parquet").where("l_shipdate IS NOT NULL")
+    years = sorted(r[0] for r in dated.select(F.year("l_shipdate")).distinct().collect())
+    assert years[-1] > 2001
+    for key in ("yearly_activity", "activity_trend", "temporal_segments"):
+        df = E.queries()[key](spark, str(tmp_path))
+        assert [c for c in df.columns if c[0] == "y"] == [f"y{y}" for y in years]
+        assert df.agg(F.sum(sum(F.col(f"y{y}") for y in years))).first()[0] == dated.count()
