@@ -2,9 +2,8 @@
 
 Training data: the rating feature set with the quantile label (top 30% of
 propensity). Model keys are rows-only (checked by properties in tests);
-``standardize`` and ``name_segments`` have SQL oracles. Tree and trial
-counts of the keyed runs are kept small (SURVEY 7.8); the library defaults
-are the reference values.
+``standardize`` and ``name_segments`` have SQL oracles. The keyed runs use the
+library defaults, which are the reference values.
 """
 
 from __future__ import annotations
@@ -18,9 +17,6 @@ from propel.plans.registry import AS_OF_EVENTS, DAYS, R, query
 from propel.session import materialize
 
 FEATURES = [c for c in ft.RATING_FEATURE_COLUMNS if c not in ("user_id", "cross_sell_propensity")]
-KEYED_TRAIN = {"n_estimators": 20}
-KEYED_TRIALS = 3
-KEYED_TUNE_RANGES = {**ml.TUNE_RANGES, "n_estimators": (5, 20), "max_depth": (3, 5)}
 
 _MODELS: dict = {}
 _TABLES: dict = {}
@@ -39,7 +35,7 @@ def training_table(t):
 def trained(t):
     k = (t.spark.sparkContext.applicationId, t.sf_dir)
     if k not in _MODELS:
-        _MODELS[k] = ml.propensity_train(training_table(t), FEATURES, params=KEYED_TRAIN)
+        _MODELS[k] = ml.propensity_train(training_table(t), FEATURES)
     return _MODELS[k]
 
 
@@ -102,12 +98,12 @@ def q_propensity_decide(t):
 
 @query("tune_params")
 def q_tune_params(t):
-    return ml.tune_params(training_table(t), FEATURES, n_trials=KEYED_TRIALS, ranges=KEYED_TUNE_RANGES)
+    return ml.tune_params(training_table(t), FEATURES)
 
 
 @query("cross_validate")
 def q_cross_validate(t):
-    return ml.cross_validate(training_table(t), FEATURES, params=KEYED_TRAIN)
+    return ml.cross_validate(training_table(t), FEATURES)
 
 
 @query("kmeans_segments")

@@ -73,3 +73,24 @@ def test_standardize_population(spark, table):
     z = ml.standardize(table, ["total_ratings"])
     r = z.agg(F.avg("total_ratings").alias("m"), F.stddev_pop("total_ratings").alias("s")).first()
     assert abs(r.m) < 1e-9 and math.isclose(r.s, 1.0, rel_tol=1e-9)
+
+
+def test_keyed_runs_use_the_library_defaults(monkeypatch):
+    from propel.plans import q_ml
+    seen = []
+
+    class T:
+        sf_dir = "none"
+
+        class spark:
+            class sparkContext:
+                applicationId = "defaults"
+
+    monkeypatch.setattr(q_ml, "training_table", lambda t: "table")
+    for name in ("propensity_train", "tune_params", "cross_validate"):
+        monkeypatch.setattr(q_ml.ml, name, lambda *a, **k: seen.append((a, k)))
+    monkeypatch.setattr(q_ml, "_MODELS", {})
+    q_ml.trained(T)
+    q_ml.q_tune_params(T)
+    q_ml.q_cross_validate(T)
+    assert seen == [(("table", q_ml.FEATURES), {})] * 3
