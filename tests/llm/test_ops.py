@@ -257,6 +257,15 @@ def test_extract_names_are_no_verdict():
     assert html_extract.main_text(f"<body>{junk}<div>{body}{junk}</div>{junk}</body>") == " ".join(text)
 
 
+def test_pipeline_drops_rows_not_ids(spark):
+    import corpus_pipeline
+    a, b, c = prose(1), prose(2), prose(3)
+    rows = [(1, a), (2, a), (2, b), (3, b), (3, b), (None, c), (None, c), (None, a), (7, prose(4)), (8, ""), (8, ""), (None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [tuple(r) for r in corpus_pipeline.drop_near_copies(spark, df, "").collect()]
+    assert sorted(got, key=repr) == sorted([(1, a), (2, b), (None, c), (7, prose(4)), (8, ""), (8, ""), (None, None)], key=repr)
+
+
 def test_pipeline(spark):
     n = pq.read_metadata(f"{SF_SMALL}/documents.parquet").num_rows
     assert 0 < E.queries()["pipeline"](spark, SF_SMALL).count() <= 2 * n
