@@ -11,6 +11,7 @@ from propel.llm import html_extract as he
 from propel.llm import license_scan as ls
 from propel.llm import near_dedup as nd
 from propel.llm import quality_rules as qr
+from propel.llm import resample as rs
 from propel.llm import shard as sh
 from propel.llm import token_count as tc
 from propel.llm import toxicity as tx
@@ -23,6 +24,10 @@ def query(fn):
     return fn
 
 
+def oracle(key, sql):
+    ORACLE[key] = sql
+
+
 def table(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -101,3 +106,34 @@ def op7_token_counts(spark, sf_dir):
 def op8_html_extract(spark, sf_dir):
     d = he.extract(table(spark, sf_dir, "pages"), ["page_id", "url"])
     return d.withColumn("n_chars", F.char_length("text").cast("long"))
+
+
+@query
+def op12_importance_resample(spark, sf_dir):
+    d = rs.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), keep=["doc_id"])
+    return d.select("doc_id", *[F.col(f"__{c}").alias(c) for c in ("n_features", "weight", "score", "rank")])
+
+
+# crc32 of a feature by its bytes: the table of 256 states is built from the polynomial
+FEATURES_SQL = """{t}_words AS (SELECT {id} AS id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM {t}),
+{t}_features AS (SELECT id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS f FROM {t}_words)"""
+oracle("op12_importance_resample", f"""
+WITH {FEATURES_SQL.format(t="documents", id="doc_id")}, {FEATURES_SQL.format(t="benchmark", id="item_id")},
+steps AS (SELECT list(list_reduce(range(0, 8), lambda a, i: CASE WHEN a % 2 = 1 THEN xor(a // 2, 3988292384) ELSE a // 2 END, v) ORDER BY v) AS st
+          FROM range(0, 256) AS r(v)),
+named AS (SELECT DISTINCT f FROM (SELECT f FROM documents_features UNION ALL SELECT f FROM benchmark_features)),
+coded AS (SELECT f, xor(list_reduce(list_transform(range(0, octet_length(encode(f))), lambda i: CAST(('0x' || substr(hex(encode(f)), 2 * i + 1, 2)) AS BIGINT)),
+          lambda a, x: xor(a >> 8, st[xor(a, x) % 256 + 1]), 4294967295), 4294967295) % 10000 AS b FROM named, steps),
+s AS (SELECT b, count(*) AS s FROM documents_features JOIN coded USING (f) GROUP BY b),
+t AS (SELECT b, count(*) AS t FROM benchmark_features JOIN coded USING (f) GROUP BY b),
+g AS (SELECT b, CAST(floor(1000 * ln(CAST(coalesce(t, 0) + 1 AS DOUBLE) * ((SELECT sum(s) FROM s) + 10000)
+      / (CAST(s + 1 AS DOUBLE) * (coalesce((SELECT sum(t) FROM t), 0) + 10000)))) AS BIGINT) AS g FROM s LEFT JOIN t USING (b)),
+w AS (SELECT id, count(*) AS n, CAST(floor(sum(g) / count(*)) AS BIGINT) AS w FROM documents_features JOIN coded USING (f) JOIN g USING (b) GROUP BY id),
+d AS (SELECT id, len(documents_words.w) AS words, coalesce(n, 0) AS n, coalesce(w.w, 0) AS w,
+      CAST(('0x' || substr(sha256('7:' || id), 1, 8)) AS BIGINT) AS h FROM documents_words LEFT JOIN w USING (id)),
+z AS (SELECT *, w + CAST(floor(-1000 * ln(-ln((h + 0.5) / CAST(4294967296 AS DOUBLE)))) AS BIGINT) AS score FROM d),
+r AS (SELECT id, row_number() OVER (ORDER BY score DESC, id) AS r FROM z WHERE words >= 20)
+SELECT id AS doc_id, CAST(n AS BIGINT) AS n_features, w AS weight, score,
+       CASE WHEN r <= (SELECT count(*) FROM z WHERE words >= 20) * 25 // 100 THEN r END AS rank
+FROM z LEFT JOIN r USING (id)""")
