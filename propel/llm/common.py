@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql.types import StructType
 
 from propel.session import unique_dir
 
@@ -12,3 +13,8 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     path = unique_dir(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def with_fields(schema: StructType, ddl: str) -> StructType:
+    """``schema`` and the fields of a DDL string behind it."""
+    return StructType([*schema.fields, *StructType.fromDDL(ddl).fields])

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from propel.llm import centroids as ce
 from propel.llm import chat_format as cf
 from propel.llm import decontaminate as dc
 from propel.llm import entropy_mix as em
 from propel.llm import html_extract as he
+from propel.llm import langid as li
 from propel.llm import license_scan as ls
 from propel.llm import near_dedup as nd
 from propel.llm import quality_rules as qr
@@ -137,3 +139,41 @@ r AS (SELECT id, row_number() OVER (ORDER BY score DESC, id) AS r FROM z WHERE w
 SELECT id AS doc_id, CAST(n AS BIGINT) AS n_features, w AS weight, score,
        CASE WHEN r <= (SELECT count(*) FROM z WHERE words >= 20) * 25 // 100 THEN r END AS rank
 FROM z LEFT JOIN r USING (id)""")
+
+
+@query
+def op13_va_file_clusters(spark, sf_dir):
+    d = ce.cluster(table(spark, sf_dir, "embeddings"), keep=["vec_id"])
+    return d.select("vec_id", *[F.col(f"__{c}").alias(c) for c in ("cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")])
+
+
+def _lloyd_sql(rounds: int) -> str:
+    step = """a{r} AS MATERIALIZED (SELECT id, c, dist FROM (SELECT id, c, sum((x - y) * (x - y)) AS dist FROM v JOIN c{r} USING (d) GROUP BY id, c)
+  QUALIFY row_number() OVER (PARTITION BY id ORDER BY dist, c) = 1)"""
+    move = """c{n} AS MATERIALIZED (SELECT o.c, o.d, coalesce(m.y, o.y) AS y FROM c{r} o LEFT JOIN
+  (SELECT c, d, (sum(x) - (sum(x) % count(*) + count(*)) % count(*)) // count(*) AS y FROM v JOIN a{r} USING (id) GROUP BY c, d) m ON o.c = m.c AND o.d = m.d)"""
+    parts = []
+    for r in range(rounds):
+        parts += [step.format(r=r), move.format(r=r, n=r + 1)]
+    return ",\n".join([*parts, step.format(r=rounds)])
+
+
+oracle("op13_va_file_clusters", f"""
+WITH e AS (SELECT vec_id AS id, embedding AS v FROM embeddings WHERE len(embedding) = 64
+           AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+v AS MATERIALIZED (SELECT id, d, CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT) AS x FROM (SELECT id, unnest(v) AS x, generate_subscripts(v, 1) AS d FROM e)),
+c0 AS MATERIALIZED (SELECT c, d, x AS y FROM v JOIN (SELECT id, row_number() OVER (ORDER BY sha256('3:' || id)) - 1 AS c FROM e QUALIFY c < 8) USING (id)),
+{_lloyd_sql(ce.ROUNDS)},
+s AS (SELECT c, sha256(string_agg(CAST(y AS VARCHAR), ',' ORDER BY d)) AS sha FROM c{ce.ROUNDS} GROUP BY c)
+SELECT id AS vec_id, CAST(c AS INTEGER) AS cluster, CAST(dist AS BIGINT) AS distance, CAST(sum(dist) OVER (PARTITION BY c) AS BIGINT) AS cluster_inertia,
+       CAST(sum(dist) OVER () AS BIGINT) AS inertia, sha AS centroid_sha256
+FROM a{ce.ROUNDS} JOIN s USING (c)""")
+
+
+@query
+def op11_crf_language_id(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    held = F.crc32(F.col("doc_id").cast("string")) % 3 == 1
+    d = li.predict(docs, li.fit(docs, ~held), keep=["doc_id"])
+    return d.select("doc_id", F.coalesce(held, F.lit(False)).alias("held_out"), F.col("__lang_pred").alias("lang_pred"), F.col("__score").alias("score"),
+                    F.col("__n_words").alias("n_words"), F.size("__runs").cast("long").alias("n_runs"))

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from propel.llm.common import cut
+from propel.llm.common import cut, with_fields
 from propel.llm.wordhash import ALNUM
 from propel.llm.wordspan import blocks, crcs, joined_crcs
 
@@ -95,9 +95,7 @@ def scores(docs: DataFrame, gain: np.ndarray, id_col: str, text_col: str, keep:
     spark = docs.sparkSession
     src = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("doc"), F.col(f"`{id_col}`").alias("id"),
                       F.col(f"`{text_col}`").cast("string").alias("t"))
-    out = src.drop("t").schema
-    for c in ("words", "n", "w"):
-        out = out.add(c, "long")
+    out = with_fields(src.drop("t").schema, "words long, n long, w long")
     d = src.mapInArrow(_weight_batches(spark.sparkContext.broadcast(gain)), out)
     h = F.conv(F.substring(F.sha2(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("id").cast("string"), F.lit(""))), 256), 1, 8), 16, 10).cast("double")
     gumbel = F.floor(-1000 * F.log(-F.log((h + 0.5) / 4294967296.0)))
