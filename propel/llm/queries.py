@@ -60,7 +60,8 @@ def op9_toxicity(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     w = tx.fit(tx.training_rows(docs, table(spark, sf_dir, "labels")))
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
-    return tx.score(docs, w, ["doc_id"]).select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    score = F.col("__score")
+    return tx.score(docs, w, ["doc_id"]).select("doc_id", held.alias("held_out"), score.alias("score"), (score >= 0.5).cast("int").alias("predicted"))
 
 
 @query

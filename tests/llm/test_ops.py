@@ -282,6 +282,7 @@ def test_toxicity_bounded_sample_and_held_out(spark):
     d = spark.createDataFrame([(1, "a b"), (1, "a b c"), (2, None), (3, "x")], "doc_id long, text string")
     lab = spark.createDataFrame([(1, 0), (1, 1), (2, 0), (3, None), (4, 1)], "doc_id long, toxic int")
     rows = toxicity.training_rows(d, lab).collect()
-    assert len(rows) <= 3 and len({r.doc_id for r in rows}) == len(rows) and 3 not in {r.doc_id for r in rows}
+    # a label of null confirms nothing; the text still belongs to the unlabelled sample
+    assert len(rows) <= 3 and len({r.doc_id for r in rows}) == len(rows) and {r.doc_id for r in rows if r.confirmed} == {1}
     assert toxicity.training_rows(d, lab, max_rows=1).count() <= 1
     assert toxicity.score(d, toxicity.fit(toxicity.training_rows(d.limit(0), lab)), ["doc_id"]).count() == 4
