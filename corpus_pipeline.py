@@ -18,7 +18,7 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go."""
     w = tx.fit(tx.training_rows(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
-    return tx.score(docs, w, docs.columns).where("score < 0.5").drop("score")
+    return tx.score(docs, w).where("__score < 0.5").drop("__score")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
