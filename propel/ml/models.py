@@ -1,27 +1,28 @@
-"""Propensity models, tuning, segmentation and attribution with Spark ML.
+"""Propensity models, tuning, segmentation and attribution.
 
-Training and scoring run as Spark ML pipelines over the partitioned feature
-table; only model metadata (coefficients, importances, a few parameters) is
-brought to the driver.
+Boosted trees grow by grouped sums over the partitioned feature table
+(:mod:`propel.ml.boosting`), segments by Spark ML; only model metadata (trees,
+coefficients, a few parameters) is brought to the driver.
 """
 
 from __future__ import annotations
 
-import random
+import math
 from collections.abc import Sequence
+from dataclasses import fields
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
-from pyspark.ml.tuning import ParamGridBuilder, TrainValidationSplit
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from propel.functions.core import md5_mod
+from propel.functions.core import md5_mod, safe_div
+from propel.functions.prefix import running_sums
+from propel.ml import boosting as gb
+from propel.ml import parzen, shap
 from propel.operators import decisions as dc
+from propel.session import materialize
 
 # ---------------------------------------------------------------------------
 # fixed values that must equal the reference: training configuration
@@ -47,42 +48,44 @@ def split_columns(df: DataFrame, key: str, test_pct: int = 20, valid_pct: int =
     return df.withColumn("is_test", b < test_pct).withColumn("is_valid", (b >= test_pct) & (b2 < valid_pct))
 
 
-def gbt(features: Sequence[str], label: str = "target", params: dict | None = None, seed: int = SEED,
-        validation: bool = True) -> Pipeline:
-    p = {**TRAIN_PARAMS, **(params or {})}
-    kw = dict(labelCol=label, featuresCol="features", maxIter=int(p["n_estimators"]), maxDepth=int(p["max_depth"]),
-              stepSize=float(p["learning_rate"]), subsamplingRate=float(p["subsample"]),
-              featureSubsetStrategy=str(float(p["colsample_bytree"])), seed=seed)
-    if validation:
-        kw["validationIndicatorCol"] = "is_valid"
-    asm = VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="keep")
-    return Pipeline(stages=[asm, GBTClassifier(**kw)])
+TEST_PCT, VALID_PCT, TUNE_VALID_PCT = 20, 10, 25
+
+
+def spec(params: dict | None = None, seed: int = SEED, test_pct: int = TEST_PCT, valid_pct: int = VALID_PCT) -> gb.Spec:
+    """Settings of one model on the train part of :func:`split_columns`."""
+    known = {f.name for f in fields(gb.Spec)}
+    p = {k: v for k, v in {**TRAIN_PARAMS, **(params or {})}.items() if k in known}
+    return gb.Spec(**p, seed=seed, train=tuple(range(test_pct, 100)), valid=tuple(range(valid_pct)))
+
+
+def _table(df: DataFrame, features: Sequence[str], label: str, key: str):
+    cuts = gb.edges(df, features)
+    return gb.binned(df, features, cuts, label, key), cuts
 
 
 def propensity_train(df: DataFrame, features: Sequence[str], label: str = "target", key: str = "user_id",
-                     params: dict | None = None, seed: int = SEED) -> PipelineModel:
-    """Boosted trees on the train part (test rows held out, validation rows for early stop)."""
-    x = split_columns(df.fillna(0, subset=list(features)), key)
-    train = x.where(~F.col("is_test"))
-    return gbt(features, label, params, seed).fit(train)
+                     params: dict | None = None, seed: int = SEED) -> gb.Model:
+    """Boosted trees on the train part (test rows held out; validation rows stop it after
+    ``early_stopping_rounds`` rounds without gain and choose the number of trees)."""
+    table, cuts = _table(df, features, label, key)
+    return gb.fit_models(table, gb.start([spec(params, seed)], features, cuts))[0].final()
 
 
-def score(model: PipelineModel | None, df: DataFrame, out: str = "propensity_score") -> DataFrame:
+def score(model: gb.Model | None, df: DataFrame, out: str = "propensity_score") -> DataFrame:
     """P(class 1) for every row; no model -> constant 0.5."""
     if model is None:
         return df.withColumn(out, F.lit(0.5))
-    s = model.transform(df)
-    return s.withColumn(out, vector_to_array("probability")[1]).drop("features", "rawPrediction", "probability",
-                                                                      "prediction")
+    s = gb.margins(df, [model], df.columns)
+    return s.withColumn(out, 1 / (1 + F.exp(-F.col("z")[0]))).drop("z")
 
 
-def propensity_score_batch(model: PipelineModel | None, df: DataFrame, features: Sequence[str]) -> DataFrame:
+def propensity_score_batch(model: gb.Model | None, df: DataFrame, features: Sequence[str]) -> DataFrame:
     """Score all rows and add the score segment (the field the caller reads)."""
     s = score(model, df.fillna(0, subset=[c for c in features if c in df.columns]))
     return s.withColumn("segment", dc.segment_by_score("propensity_score"))
 
 
-def propensity_decide(model: PipelineModel | None, df: DataFrame, features: Sequence[str], version: str,
+def propensity_decide(model: gb.Model | None, df: DataFrame, features: Sequence[str], version: str,
                       as_of: str) -> DataFrame:
     """Score + segment + product + channel + model version + time; fallback row when no model."""
     if model is None:
@@ -100,69 +103,77 @@ def propensity_decide(model: PipelineModel | None, df: DataFrame, features: Sequ
             .withColumn("prediction_timestamp", F.lit(as_of).cast("timestamp")))
 
 
-def evaluate_auc(model: PipelineModel, df: DataFrame, label: str = "target") -> float:
-    ev = BinaryClassificationEvaluator(labelCol=label, rawPredictionCol="rawPrediction", metricName="areaUnderROC")
-    return float(ev.evaluate(model.transform(df)))
+def auc_by(df: DataFrame, group: str, label: str, score_col: str) -> DataFrame:
+    """(group, auc): rank AUC of every group at once, tied scores counted half."""
+    by = (df.where(F.col(score_col).isNotNull() & F.col(label).isNotNull()).groupBy(group, F.col(score_col).cast("double").alias("_s"))
+          .agg(F.count_if(F.col(label) == 1).alias("_pos"), F.count_if(F.col(label) != 1).alias("_neg")))
+    r = running_sums(materialize(by), ["_s"], ["_neg"], inclusive=False, group=[group])       # negatives below
+    a = r.groupBy(group).agg(F.sum(F.col("_pos").cast("double") * (F.col("cum__neg") + 0.5 * F.col("_neg"))).alias("_u"),
+                             F.sum("_pos").alias("_p"), F.sum("_neg").alias("_n"))
+    return a.select(group, safe_div(F.col("_u"), F.col("_p").cast("double") * F.col("_n")).alias("auc"))
 
 
-def sample_param_maps(n: int = TUNE_TRIALS, seed: int = SEED, ranges: dict | None = None) -> list[dict]:
-    """Random search: n parameter sets drawn from the reference ranges (rate on a log scale)."""
-    import math
-    r = ranges or TUNE_RANGES
-    rng = random.Random(seed)
-    out = []
-    for _ in range(n):
-        lo, hi = r["learning_rate"]
-        out.append({"n_estimators": rng.randint(*r["n_estimators"]), "max_depth": rng.randint(*r["max_depth"]),
-                    "learning_rate": math.exp(rng.uniform(math.log(lo), math.log(hi))),
-                    "subsample": rng.uniform(*r["subsample"]), "colsample_bytree": rng.uniform(*r["colsample_bytree"])})
-    return out
+def evaluate_auc(model: gb.Model, df: DataFrame, label: str = "target") -> float:
+    return aucs([model], df.withColumn("_who", F.lit(0)), label, "_who").get(0, float("nan"))
+
+
+def aucs(models: list, df: DataFrame, label: str, who: str) -> dict[int, float]:
+    """AUC of each model on the rows whose column ``who`` (a number or an array of numbers) names it."""
+    z = gb.margins(df, models, [label, who])
+    many = dict(df.dtypes)[who].startswith("array")
+    z = z.withColumn("_m", F.explode(who) if many else F.col(who)).select("_m", label, F.expr("z[_m]").alias("_z"))
+    return {r[0]: float(r.auc) if r.auc is not None else float("nan") for r in auc_by(z, "_m", label, "_z").collect()}   # a row a model
 
 
 def tune_params(df: DataFrame, features: Sequence[str], label: str = "target", key: str = "user_id",
                 n_trials: int = TUNE_TRIALS, seed: int = SEED, ranges: dict | None = None,
-                parallelism: int = 4) -> DataFrame:
-    """Random search with TrainValidationSplit on the train part, refit of the best
-    map, AUC on the held-out test part (selection and report use different rows)."""
-    x = split_columns(df.fillna(0, subset=list(features)), key)
-    train, test = x.where(~F.col("is_test")), x.where(F.col("is_test"))
-    maps = sample_param_maps(n_trials, seed, ranges)
-    asm = VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="keep")
-    g = GBTClassifier(labelCol=label, featuresCol="features", seed=seed)
-    grid = []
-    for m in maps:
-        b = ParamGridBuilder()
-        b.baseOn({g.maxIter: int(m["n_estimators"]), g.maxDepth: int(m["max_depth"]),
-                  g.stepSize: float(m["learning_rate"]), g.subsamplingRate: float(m["subsample"]),
-                  g.featureSubsetStrategy: str(float(m["colsample_bytree"]))})
-        grid += b.build()
-    ev = BinaryClassificationEvaluator(labelCol=label, metricName="areaUnderROC")
-    tvs = TrainValidationSplit(estimator=Pipeline(stages=[asm, g]), estimatorParamMaps=grid, evaluator=ev,
-                               trainRatio=0.75, seed=seed, parallelism=parallelism)
-    fitted = tvs.fit(train)
-    metrics = list(fitted.validationMetrics)
-    best = max(range(len(maps)), key=lambda i: metrics[i])
-    test_auc = ev.evaluate(fitted.bestModel.transform(test))
-    rows = [(i, m["n_estimators"], m["max_depth"], float(m["learning_rate"]), float(m["subsample"]),
-             float(m["colsample_bytree"]), float(metrics[i]), i == best, float(test_auc) if i == best else None)
-            for i, m in enumerate(maps)]
+                generation: int = 5, first_rung: int = 25, survivors: int = 2) -> DataFrame:
+    """Tree-structured Parzen search with successive halving, refit of the best, AUC on
+    held-out rows. Trials come in generations that grow together: all to ``first_rung``
+    rounds, then only the ``survivors`` best of a generation to their full number (or until
+    patience ends them). Selection and report use different rows: a trial's AUC is that of
+    the validation rows (a quarter of the train part), the winner's test AUC that of the test part."""
+    table, cuts = _table(df, features, label, key)
+    x = split_columns(df.select(key, label, *features), key, TEST_PCT, TUNE_VALID_PCT)
+    valid, search, rows = x.where("is_valid"), parzen.Search(ranges or TUNE_RANGES, seed), []
+    while len(rows) < n_trials:
+        trials = search.propose(min(generation, n_trials - len(rows)))
+        ms = gb.start([spec(t, seed, TEST_PCT, TUNE_VALID_PCT) for t in trials], features, cuts)
+        ms = gb.fit_models(table, ms, first_rung)
+        every = valid.withColumn("_who", F.sequence(F.lit(0), F.lit(len(ms) - 1)))
+        got = aucs([m.final() for m in ms], every, label, "_who")
+        best = sorted(range(len(ms)), key=lambda i: (-_known(got.get(i)), i))[:survivors]
+        more = gb.fit_models(table, [ms[i] for i in best])
+        for i, m in zip(best, more):
+            ms[i] = m
+        got = aucs([m.final() for m in ms], every, label, "_who")
+        search.tell(trials, [_known(got.get(i)) for i in range(len(ms))])
+        rows += [(t, _known(got.get(i)), len(ms[i].trees)) for i, t in enumerate(trials)]
+    best = max(range(len(rows)), key=lambda i: (rows[i][1], -i))
+    model = propensity_train(df, features, label, key, rows[best][0], seed)
+    test_auc = evaluate_auc(model, x.where("is_test"), label)
+    out = [(i, t["n_estimators"], t["max_depth"], float(t["learning_rate"]), float(t["subsample"]), float(t["colsample_bytree"]),
+            float(v), int(n), i == best, float(test_auc) if i == best else None) for i, (t, v, n) in enumerate(rows)]
     return df.sparkSession.createDataFrame(
-        rows, "trial int, n_estimators int, max_depth int, learning_rate double, subsample double, "
-              "colsample_bytree double, validation_auc double, best boolean, test_auc double")
+        out, "trial int, n_estimators int, max_depth int, learning_rate double, subsample double, "
+             "colsample_bytree double, validation_auc double, rounds int, best boolean, test_auc double")
 
 
-def cross_validate(df: DataFrame, features: Sequence[str], label: str = "target", key: str = "user_id",
-                   folds: int = CV_FOLDS, params: dict | None = None, seed: int = SEED,
-                   parallelism: int = 4) -> DataFrame:
-    """k-fold AUC (fold = md5 bucket of the key): one metric row per fold."""
-    x = df.fillna(0, subset=list(features)).withColumn("_fold", md5_mod(F.col(key), folds))
-    ev = BinaryClassificationEvaluator(labelCol=label, metricName="areaUnderROC")
+def _known(v) -> float:
+    return 0.5 if v is None or math.isnan(v) else v
 
-    def run(f):
-        m = gbt(features, label, params, seed, validation=False).fit(x.where(F.col("_fold") != f))
-        return f, float(ev.evaluate(m.transform(x.where(F.col("_fold") == f))))
-    rows = _parallel(run, range(folds), parallelism)
-    return df.sparkSession.createDataFrame(rows, "fold int, auc double")
+
+def cross_validate(df: DataFrame, features: Sequence[str], label: str = "target", key: str = "user_id",
+                   folds: int = CV_FOLDS, params: dict | None = None, seed: int = SEED) -> DataFrame:
+    """k-fold AUC (fold = md5 part of the key): one metric row per fold. All folds grow
+    together; a tenth of each fold's train part stops it."""
+    table, cuts = _table(df, features, label, key)
+    base = spec(params, seed)
+    specs = [gb.replace(base, train=tuple(a for a in range(gb.PARTS) if a % folds != f)) for f in range(folds)]
+    models = [m.final() for m in gb.fit_models(table, gb.start(specs, features, cuts))]
+    x = df.select(label, *features, (md5_mod(F.col(key), gb.PARTS) % folds).alias("_fold"))
+    got = aucs(models, x, label, "_fold")
+    return df.sparkSession.createDataFrame([(f, got.get(f)) for f in range(folds)], "fold int, auc double")
 
 
 def standardize(df: DataFrame, cols: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
@@ -207,12 +218,11 @@ def name_segments(df: DataFrame, segment: str = "segment", value: str = "monetar
     return df.join(F.broadcast(ranked), segment, "left")  # one row per segment (k rows)
 
 
-def feature_importance(model: PipelineModel, features: Sequence[str]) -> DataFrame:
-    """Gain importance per feature (sums to 1), names from the assembler order."""
+def feature_importance(model: gb.Model, features: Sequence[str]) -> DataFrame:
+    """Gain importance per feature (sums to 1)."""
     from pyspark.sql import SparkSession
-    imp = model.stages[-1].featureImportances.toArray().tolist()
-    spark = SparkSession.getActiveSession()
-    return spark.createDataFrame([(f, float(v)) for f, v in zip(features, imp)], "feature string, importance double")
+    by = dict(zip(model.features, model.gains().tolist()))
+    return SparkSession.getActiveSession().createDataFrame([(f, float(by.get(f, 0.0))) for f in features], "feature string, importance double")
 
 
 def importance_topk(imp: DataFrame, k: int = TOPK_IMPORTANCE) -> DataFrame:
@@ -234,6 +244,12 @@ def attribution_model(df: DataFrame, features: Sequence[str], label: str = "targ
     return coefs, float(lr.intercept), means
 
 
+def _by_size(contributions):
+    """Largest absolute value first."""
+    return F.array_sort(contributions, lambda a, b: F.when(F.abs(a["value"]) > F.abs(b["value"]), -1)
+                        .when(F.abs(a["value"]) < F.abs(b["value"]), 1).otherwise(0))
+
+
 def feature_attribution_topk(df: DataFrame, features: Sequence[str], coefs: Sequence[float], means: Sequence[float],
                              key: str, k: int = TOPK_ATTRIBUTION) -> DataFrame:
     """Top-k signed contributions coef*(x - mean) per row (exact and additive:
@@ -241,12 +257,19 @@ def feature_attribution_topk(df: DataFrame, features: Sequence[str], coefs: Sequ
     contrib = F.array(*[F.struct(F.lit(c).alias("feature"),
                                  (F.lit(b) * (F.coalesce(F.col(c).cast("double"), F.lit(0.0)) - F.lit(m))).alias("value"))
                         for c, b, m in zip(features, coefs, means)])
-    ordered = F.array_sort(contrib, lambda a, b: F.when(F.abs(a["value"]) > F.abs(b["value"]), -1)
-                           .when(F.abs(a["value"]) < F.abs(b["value"]), 1).otherwise(0))
+    ordered = _by_size(contrib)
     return df.select(F.col(key), F.aggregate(contrib, F.lit(0.0), lambda acc, x: acc + x["value"]).alias("total"),
                      F.slice(ordered, 1, k).alias("top_contributions"))
 
 
+def tree_attribution_topk(df: DataFrame, model: gb.Model, key: str, k: int = TOPK_ATTRIBUTION) -> DataFrame:
+    """(key, base, margin, total, top_contributions): top-k signed Shapley contributions of the
+    scoring trees per row; ``total`` (the sum of all) is margin less base."""
+    return shap.attributions(df, model, [key]).select(
+        key, "base", "margin", F.aggregate("contributions", F.lit(0.0), lambda acc, x: acc + x["value"]).alias("total"),
+        F.slice(_by_size("contributions"), 1, k).alias("top_contributions"))
+
+
 def attribution_text(top: DataFrame, col: str = "top_contributions", n: int = TOPK_TEXT) -> DataFrame:
     """'<feature> increases|decreases propensity by 0.123' for the top n, joined by '; '."""
     parts = F.transform(F.slice(F.col(col), 1, n), lambda x: F.format_string(

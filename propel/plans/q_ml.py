@@ -1,4 +1,4 @@
-"""Keyed queries: models on Spark ML (2.13).
+"""Keyed queries: models (2.13).
 
 Training data: the rating feature set with the quantile label (top 30% of
 propensity). Model keys are rows-only (checked by properties in tests);
@@ -76,7 +76,7 @@ def q_propensity_train(t):
     m = trained(t)
     test = ml.split_columns(training_table(t).fillna(0, subset=FEATURES), "user_id").where(F.col("is_test"))
     auc = ml.evaluate_auc(m, test)
-    trees = m.stages[-1].getNumTrees
+    trees = len(m.trees)
     return t.spark.createDataFrame([(int(trees), float(auc))], "trees int, test_auc double")
 
 
@@ -123,14 +123,12 @@ def q_importance_topk(t):
 
 
 def _attr(t):
-    tt = training_table(t)
-    coefs, _, means = ml.attribution_model(tt, FEATURES)
-    return ml.feature_attribution_topk(tt, FEATURES, coefs, means, "user_id")
+    return ml.tree_attribution_topk(training_table(t), trained(t), "user_id")
 
 
 @query("feature_attribution_topk", raw=True)
 def q_feature_attribution_topk(t):
-    return _attr(t)
+    return _attr(t).drop("margin")
 
 
 @query("attribution_text")
