@@ -3,17 +3,27 @@
 1. Every text becomes its set of 64-bit shingle hashes; texts with equal sets form
    one class, so copies cost nothing further.
 2. A class keeps its ``SKETCH`` smallest hashes. Inverted lists of the ``POSTED``
-   smallest (two sets at 0.8 share none of them with probability 0.2**24) give overlaps: lists of at most ``LIST`` classes pair all members, longer lists
-   tie each member to hubs (the members that stand in the most long lists).
-   Classes of a long list that are then not all in one component go again through
-   lists of their rarest sketch values (prefix filter): all pairs of the lists that
-   are now short, new hubs in those still long.
+   smallest (two sets at 0.8 share none of them with probability 0.2**24) give overlaps.
+   A class that meets others in fewer lists than a similar pair does (less
+   ``SPREAD`` standard deviations) goes out. Lists of at most ``LIST`` classes pair all
+   members; members of longer lists are compared with ``HUBS`` hubs of the list, the members that
+   stand in the most long lists.
 3. Overlap in the bottom-k of the union estimates the similarity and drops the
    clearly different; exact Jaccard over the whole sets verifies the rest.
 4. Connected components by alternating large-star and small-star steps.
+5. Long lists whose members are then not all in one component stay open: hubs may have
+   missed links there. For the classes in open lists an exact prefix join over the whole sets
+   finds every pair of different components that may reach the similarity: values in one order
+   (rare first), the first values of a set down to the last one that two similar sets can have
+   as their first common value, and a bound of the common part by position and sizes. In a list
+   only members outside its largest component look for partners, so the members
+   of a large group of near copies are never paired with each other. The links found there
+   complete the components.
 
 Nulls and empty texts have no shingles and link with nothing. Repeated rows stay
-rows of their own and share a component. Extra columns are not read.
+rows of their own and share a component. Ids may be of any type that has an order;
+rows without id never give a component its id. Extra columns are not read. Empty tables
+give empty results.
 """
 
 from __future__ import annotations
@@ -22,13 +32,13 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from propel.llm.common import cut
+from propel.llm.common import cut, with_fields
 from propel.llm.wordhash import WHITE, iter_words, shingles
 
-SKETCH, POSTED, LIST, HUBS, MORE_HUBS = 64, 24, 32, 4, 32
+SKETCH, POSTED, LIST, HUBS = 64, 24, 12, 2
 #: standard deviations of a sketch estimate that candidates may fall short by
 SPREAD = 5
 
@@ -69,9 +79,9 @@ def _gram_batches(k: int):
 
 def text_sets(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
     """(id, th, n, key, sketch) per row of ``docs``; th is a hash of the text."""
-    t = F.col(f"`{text_col}`")
-    src = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), t.alias("t"), F.xxhash64(t).alias("th"))
-    return src.mapInArrow(_set_batches(k), "id long, th long, n long, key long, sketch array<long>")
+    t = F.col(f"`{text_col}`").cast("string")
+    src = docs.select(F.col(f"`{id_col}`").alias("id"), t.alias("t"), F.xxhash64(t).alias("th"))
+    return src.mapInArrow(_set_batches(k), with_fields(src.select("id").schema, "th long, n long, key long, sketch array<long>"))
 
 
 def _verify(percent: int):
@@ -108,46 +118,80 @@ def list_pairs(rows: DataFrame, percent: int) -> DataFrame:
     return p.select("p.a", "p.b")
 
 
-def posted(post: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rows of ``post`` in lists of 2 to LIST members, and rows in longer lists (with the length ``df``)."""
-    df = post.groupBy("v").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    return post.join(df.where(F.col("df") <= LIST), "v"), post.join(df.where(F.col("df") > LIST), "v")
+def lists(classes: DataFrame, percent: int) -> DataFrame:
+    """(v, key, n, df): the posted values that two classes or more hold, of the classes that hold
+    enough of them. A similar class shares at least ``percent`` of the posted values in expectation."""
+    post = classes.select("key", "n", F.explode(F.slice("sketch", 1, POSTED)).alias("v"))
+    met = cut(post.join(post.groupBy("v").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "v"), "met")
+    s, j = F.least(F.lit(float(POSTED)), F.col("n")), percent / 100
+    need = F.greatest(F.lit(1.0), F.floor(s * j - SPREAD * F.sqrt(s * j * (1 - j))))
+    few = met.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.first("n").alias("n")).where(F.col("c") < need).select("key")
+    return cut(met.join(few, "key", "left_anti").select("v", "key", "n", "df"), "lists")
 
 
-def hub_pairs(long: DataFrame, hubs: int, percent: int) -> DataFrame:
-    """Pairs (a < b) of each member of a long list with ``hubs`` of its members, one for each
+def hub_pairs(long: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a < b) of each member of a long list with ``HUBS`` of its members, one for each
     hash class: the one that stands in the most long lists. The originals of a group of near
-    copies hold its common values, so lists of one group agree on such hubs. ``root`` may
-    be in ``long``; members of one component make no pair."""
-    root = F.col("root") if "root" in long.columns else F.col("key")
-    rows = long.select("v", "key", "n", root.alias("root"))
-    rows = rows.join(rows.groupBy("key").agg(F.count(F.lit(1)).alias("c")), "key")
-    own = F.pmod(F.xxhash64("key", F.lit(hubs)), F.lit(hubs))
-    hub = rows.groupBy("v").agg(F.array(*[F.min(F.when(own == j, F.struct(-F.col("c"), "key", "n", "root"))) for j in range(hubs)]).alias("hs"))
-    star = rows.join(hub, "v").select("key", "n", "root", F.explode("hs").alias("h"))
-    star = star.where(f"root <> h.root AND 100 * least(n, h.n) >= {percent} * greatest(n, h.n)")
-    return star.select(F.least("key", "h.key").alias("a"), F.greatest("key", "h.key").alias("b"))
+    copies hold its common values, so lists of one group agree on such hubs; a member
+    meets each of its hubs once."""
+    rows = long.select("v", "key", "n")
+    rows = cut(rows.join(rows.groupBy("key").agg(F.count(F.lit(1)).alias("c")), "key"), "long")
+    own = F.pmod(F.xxhash64("key", F.lit(HUBS)), F.lit(HUBS))
+    hub = rows.groupBy("v").agg(F.array(*[F.min(F.when(own == j, F.struct(-F.col("c"), "key", "n"))) for j in range(HUBS)]).alias("hs"))
+    near = F.filter("hs", lambda h: h["key"].isNotNull() & (h["key"] != F.col("key")) & (100 * F.least("n", h["n"]) >= percent * F.greatest("n", h["n"])))
+    star = rows.join(hub, "v").select("key", F.transform(near, lambda h: h["key"]).alias("hs")).where("size(hs) > 0").distinct()
+    star = star.groupBy("key").agg(F.array_distinct(F.flatten(F.collect_set("hs"))).alias("hs"))      # at most POSTED * HUBS
+    star = star.select("key", F.explode("hs").alias("h"))
+    return star.select(F.least("key", "h").alias("a"), F.greatest("key", "h").alias("b"))
 
 
 def open_rows(rows: DataFrame, roots: DataFrame) -> DataFrame:
     """``rows`` (v, key, n), with their root, of the lists whose members are not yet in one component."""
     m = rows.select("v", "key", "n").join(roots, rows["key"] == roots["node"], "left").select("v", "key", "n", F.coalesce("root", "key").alias("root"))
-    both = m.groupBy("v").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("df")).where("lo <> hi").select("v", "df")
+    both = m.groupBy("v").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("v")
     return m.join(both, "v")
 
 
-def rarest(classes: DataFrame, keys: DataFrame, percent: int) -> DataFrame:
-    """(v, key, n): for the classes ``keys``, the rarest sketch values that two similar
-    classes must meet in. Of s values at least ``need`` are shared, so one of the
-    s - need + 1 that come first in one order of all values (rare first) is."""
-    s = classes.join(keys, "key", "left_semi").select("key", "n", F.size("sketch").alias("s"), F.explode("sketch").alias("v"))
-    s = s.join(s.groupBy("v").agg(F.count(F.lit(1)).alias("df")), "v")
-    j = percent / 100
-    k = F.least(F.lit(float(SKETCH)), F.col("n") * j)
-    drawn = k * j - SPREAD * F.sqrt(k * j * (1 - j))
-    need = F.greatest(F.lit(1), F.ceil(F.when(F.col("n") <= SKETCH * j, F.col("n") * j).otherwise(drawn) - 1e-9))
-    by = s.groupBy("key").agg(F.first("n").alias("n"), F.first("s").alias("s"), F.sort_array(F.collect_list(F.struct("df", "v"))).alias("m"))
-    return by.select("key", "n", F.explode(F.slice("m", F.lit(1), (F.col("s") - need + 1).cast("int"))["v"]).alias("v"))
+def _value_batches(batches):
+    """(key, root, n, v) of every value of whole sets, a block of values at a time."""
+    for b in batches:
+        for i in range(b.num_rows):
+            s = np.frombuffer(b.column(2)[i].as_py(), np.int64)
+            for at in range(0, len(s), 1 << 16):
+                v = s[at:at + (1 << 16)]
+                full = lambda x: pa.array(np.full(len(v), x.as_py(), np.int64))
+                yield pa.RecordBatch.from_arrays([full(b.column(0)[i]), full(b.column(1)[i]), pa.array(np.full(len(v), len(s))), pa.array(v)], ["key", "root", "n", "v"])
+
+
+def prefix_pairs(sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a < b) of classes of ``sets`` (key, root, g) with different roots: every pair that may
+    reach the similarity. Two sets with at least ``percent`` of their union in common have a first
+    common value, at places i and k in one order of all values; the common part is at most
+    n - i + 1 of the one and m - k + 1 of the other, and at least percent / (100 + percent) * (n + m)."""
+    vals = cut(sets.select("key", "root", "g").mapInArrow(_value_batches, "key long, root long, n long, v long"), "values")
+    df = vals.groupBy("v").agg(F.count(F.lit(1)).alias("df"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("df > 1")
+    shared = vals.join(df.select("v", "df", (F.col("lo") < F.col("hi")).alias("mixed")), "v")
+    w = Window.partitionBy("key")
+    place = F.col("n") - F.count(F.lit(1)).over(w) + F.row_number().over(w.orderBy("df", "v"))
+    # largest partner that the common part from this place on allows
+    top = F.floor((100 + percent) * (F.col("n") - F.col("i") + 1) / percent - F.col("n") + 1e-9)
+    pre = shared.withColumn("i", place).withColumn("top", top).where(F.col("mixed") & (100 * F.col("top") >= percent * F.col("n")))
+    pre = cut(pre.select("v", "key", "root", "n", "top"), "prefix")
+    # the largest component of each list, and what its other members allow
+    by = pre.groupBy("v", "root").agg(F.count(F.lit(1)).alias("c"), F.min("n").alias("low"), F.max("top").alias("high"))
+    main = by.groupBy("v").agg(F.max(F.struct("c", "root"))["root"].alias("main"), F.count(F.lit(1)).alias("k"),
+                               F.min(F.struct("low", "root")).alias("low"), F.max(F.struct("high", "root")).alias("high")).where("k > 1")
+    rest = by.join(main.select("v", F.col("low.root").alias("r1"), F.col("high.root").alias("r2")), "v").groupBy("v").agg(
+        F.min(F.when(F.col("root") != F.col("r1"), F.col("low"))).alias("low2"), F.max(F.when(F.col("root") != F.col("r2"), F.col("high"))).alias("high2"))
+    m = pre.join(main.join(rest, "v"), "v")
+    low = F.when(F.col("low.root") != F.col("root"), F.col("low.low")).otherwise(F.col("low2"))
+    high = F.when(F.col("high.root") != F.col("root"), F.col("high.high")).otherwise(F.col("high2"))
+    m = m.where((low <= F.col("top")) & (high >= F.col("n"))).select("v", "key", "root", "n", "top", (F.col("root") != F.col("main")).alias("seeks"))
+    m = cut(m, "seek")
+    x = m.where("seeks").select("v", *[F.col(c).alias(f"x_{c}") for c in ("key", "root", "n", "top")])
+    y = m.select("v", "seeks", *[F.col(c).alias(f"y_{c}") for c in ("key", "root", "n", "top")])
+    fits = F.expr(f"x_root <> y_root AND y_n <= x_top AND x_n <= y_top AND 100 * least(x_n, y_n) >= {percent} * greatest(x_n, y_n) AND (NOT seeks OR x_key < y_key)")
+    return x.join(y, "v").where(fits).select(F.least("x_key", "y_key").alias("a"), F.greatest("x_key", "y_key").alias("b")).distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -168,32 +212,35 @@ def components(edges: DataFrame) -> DataFrame:
         last = now
 
 
-def similar(pairs: DataFrame, classes: DataFrame, docs: DataFrame, text_col: str, k: int, percent: int) -> DataFrame:
-    """The pairs whose whole sets reach the similarity; the texts of those classes are read again."""
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-    one = classes.join(ends, "key", "left_semi").select("th").distinct()
-    text = F.col(f"`{text_col}`")
+def whole_sets(keys: DataFrame, classes: DataFrame, docs: DataFrame, text_col: str, k: int) -> DataFrame:
+    """(key, g): the whole sets of the classes ``keys``, from their texts, which are read again."""
+    one = classes.join(keys.distinct(), "key", "left_semi").select("th").distinct()
+    text = F.col(f"`{text_col}`").cast("string")
     texts = docs.select(text.alias("t"), F.xxhash64(text).alias("th")).join(one, "th", "left_semi").dropDuplicates(["th"]).select("t")
-    grams = cut(texts.mapInArrow(_gram_batches(k), "key long, g binary"), "grams").dropDuplicates(["key"])
+    return cut(texts.mapInArrow(_gram_batches(k), "key long, g binary").dropDuplicates(["key"]), "grams")
+
+
+def similar(pairs: DataFrame, grams: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose whole sets reach the similarity."""
     both = pairs.join(grams.toDF("a", "ga"), "a").join(grams.toDF("b", "gb"), "b").select("a", "b", "ga", "gb")
     return cut(both.mapInArrow(_verify(percent), "a long, b long"), "links")
 
 
 def link(classes: DataFrame, docs: DataFrame, text_col: str, k: int, percent: int) -> DataFrame:
     """(node, root) of the classes that have a similar one."""
-    short, long = posted(classes.select("key", "n", F.explode(F.slice("sketch", 1, POSTED)).alias("v")))
-    long = cut(long, "long")
-    pairs = cut(likely(list_pairs(short, percent).unionByName(hub_pairs(long, HUBS, percent)), classes, percent), "pairs")
-    links = similar(pairs, classes, docs, text_col, k, percent)
+    every = lists(classes, percent)
+    short, long = every.where(F.col("df") <= LIST), every.where(F.col("df") > LIST)
+    pairs = cut(likely(list_pairs(short, percent).unionByName(hub_pairs(long, percent)), classes, percent), "pairs")
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("key"))
+    links = similar(pairs, whole_sets(ends, classes, docs, text_col, k), percent)
     roots = cut(components(links), "roots")
-    left = cut(open_rows(long, roots), "open").select("key").distinct()
+    left = cut(open_rows(long, roots).groupBy("key").agg(F.first("root").alias("root")), "open")
     if left.isEmpty():
         return roots
-    # what hubs did not join: lists of rare values, and new hubs for those still long
-    short, long = posted(cut(rarest(classes, left, percent), "rarest"))
-    more = list_pairs(open_rows(short, roots), percent).unionByName(hub_pairs(cut(open_rows(long, roots), "open"), MORE_HUBS, percent))
-    pairs = cut(likely(more, classes, percent), "pairs")
-    return cut(components(links.unionByName(similar(pairs, classes, docs, text_col, k, percent))), "roots")
+    # what hubs did not join
+    grams = whole_sets(left.select("key"), classes, docs, text_col, k)
+    more = cut(likely(prefix_pairs(grams.join(left, "key"), percent), classes, percent), "pairs")
+    return cut(components(links.unionByName(similar(more, grams, percent))), "roots")
 
 
 def near_duplicates(docs: DataFrame, id_col="doc_id", text_col="text", k: int = 5, percent: int = 80) -> DataFrame:

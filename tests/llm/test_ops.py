@@ -74,7 +74,6 @@ def test_near_dedup_hot_list_and_edges(spark):
     assert near_dedup.near_duplicates(df.limit(0)).count() == 0
 
 
-@pytest.mark.xfail(reason="known fault: links between two non-hubs of a long list can be lost", strict=False)
 def test_near_dedup_second_round(spark):
     """A group of near copies with one to eight edits, so that hubs do not join all, and texts around one passage."""
     rng = random.Random(11)
