@@ -15,16 +15,16 @@ VIEW_SQL: dict[str, str] = {
     "movies": """SELECT p_partkey AS movie_id, CASE WHEN p_size = 50 THEN NULL ELSE 1970 + p_size END AS year,
   p_name AS title FROM part""",
     "transactions": """SELECT o_custkey AS customer_id, o_orderdate AS transaction_date, o_totalprice AS amount
-  FROM orders WHERE o_orderpriority = '1-URGENT'""",
+  FROM orders""",
     "services": """SELECT o_custkey AS customer_id, l_shipdate AS last_service_date FROM lineitem
-  JOIN orders ON l_orderkey = o_orderkey WHERE l_returnflag = 'N' AND l_quantity >= 45""",
+  JOIN orders ON l_orderkey = o_orderkey WHERE l_returnflag = 'N'""",
     "claims": """SELECT o_custkey AS customer_id, l_shipdate AS last_claim_date FROM lineitem
-  JOIN orders ON l_orderkey = o_orderkey WHERE l_returnflag = 'R' AND l_quantity >= 48""",
+  JOIN orders ON l_orderkey = o_orderkey WHERE l_returnflag = 'R'""",
     "lost_quotations": """SELECT o_custkey AS customer_id, o_orderdate AS lost_date, o_orderstatus AS competitor,
-  o_totalprice AS competitor_price FROM orders WHERE o_orderpriority = '5-LOW' AND o_orderstatus = 'P'""",
+  o_totalprice AS competitor_price FROM orders WHERE o_orderstatus = 'P'""",
     "products": """SELECT DISTINCT o_custkey AS customer_id, p_type AS product FROM lineitem
   JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey
-  WHERE l_returnflag = 'A' AND l_quantity >= 47""",
+  WHERE l_returnflag = 'A'""",
     "customers": """SELECT c_custkey AS customer_id, c_name AS name, r_name AS region, 18 + c_custkey % 57 AS age,
   c_acctbal AS income, a.acquisition_date, p.products_owned_str, c_custkey % 7 = 0 AS renewal_in_30_days
   FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
@@ -37,13 +37,13 @@ VIEW_SQL: dict[str, str] = {
   CASE WHEN event_id % 3 = 0 THEN 'v1' ELSE 'v2' END AS model_version, ts AS created_at
   FROM events WHERE event_type IN ('view', 'click')""",
     "feedback": """SELECT event_id AS id, user_id AS customer_id,
-  concat('AGT-', CAST((user_id + event_id) % 20 AS VARCHAR)) AS agent_id, event_type AS action_taken,
+  concat('AGT-', CAST((user_id + event_id) % (SELECT count(*) FROM supplier) AS VARCHAR)) AS agent_id, event_type AS action_taken,
   CASE event_type WHEN 'purchase' THEN 'converted' WHEN 'error' THEN 'not_converted' ELSE 'pending' END AS outcome,
   ts AS created_at FROM events WHERE event_type <> 'view'""",
     "agents": """SELECT concat('AGT-', CAST(s_suppkey AS VARCHAR)) AS agent_id, s_name AS name, n_name AS region
-  FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE s_suppkey < 20""",
-    "assignments": """SELECT concat('AGT-', CAST(c_custkey % 20 AS VARCHAR)) AS agent_id, c_custkey AS customer_id
-  FROM customer WHERE c_custkey % 20 < 19""",
+  FROM supplier JOIN nation ON s_nationkey = n_nationkey""",
+    "assignments": """SELECT concat('AGT-', CAST(c_custkey % (SELECT count(*) FROM supplier) AS VARCHAR)) AS agent_id, c_custkey AS customer_id
+  FROM customer""",
     "request_log": """SELECT event_id, ts, user_id AS client, event_type AS endpoint,
   CASE WHEN event_type = 'error' THEN 500 WHEN value > 150 THEN 404 ELSE 200 END AS status,
   value / 100.0E0 AS duration_seconds, event_id % 4 = 0 AS cache_hit FROM events""",

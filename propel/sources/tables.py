@@ -49,26 +49,26 @@ class Tables:
 
     def transactions(self) -> DataFrame:
         o = self.base("orders")
-        return o.where(F.col("o_orderpriority") == "1-URGENT").select(
+        return o.select(
             F.col("o_custkey").alias("customer_id"),
             F.col("o_orderdate").alias("transaction_date"),
             F.col("o_totalprice").alias("amount"))
 
     def services(self) -> DataFrame:
         return (self._lineitem_orders()
-                .where((F.col("l_returnflag") == "N") & (F.col("l_quantity") >= 45))
+                .where(F.col("l_returnflag") == "N")
                 .select(F.col("o_custkey").alias("customer_id"),
                         F.col("l_shipdate").alias("last_service_date")))
 
     def claims(self) -> DataFrame:
         return (self._lineitem_orders()
-                .where((F.col("l_returnflag") == "R") & (F.col("l_quantity") >= 48))
+                .where(F.col("l_returnflag") == "R")
                 .select(F.col("o_custkey").alias("customer_id"),
                         F.col("l_shipdate").alias("last_claim_date")))
 
     def lost_quotations(self) -> DataFrame:
         o = self.base("orders")
-        return (o.where((F.col("o_orderpriority") == "5-LOW") & (F.col("o_orderstatus") == "P"))
+        return (o.where(F.col("o_orderstatus") == "P")
                 .select(F.col("o_custkey").alias("customer_id"),
                         F.col("o_orderdate").alias("lost_date"),
                         F.col("o_orderstatus").alias("competitor"),
@@ -76,7 +76,7 @@ class Tables:
 
     def products(self) -> DataFrame:
         p = self.base("part").select("p_partkey", "p_type")
-        lo = self._lineitem_orders().where((F.col("l_returnflag") == "A") & (F.col("l_quantity") >= 47))
+        lo = self._lineitem_orders().where(F.col("l_returnflag") == "A")
         return (lo.join(p, lo.l_partkey == p.p_partkey)
                 .select(F.col("o_custkey").alias("customer_id"), F.col("p_type").alias("product"))
                 .distinct())
@@ -113,11 +113,11 @@ class Tables:
                         F.col("ts").alias("created_at")))
 
     def feedback(self) -> DataFrame:
-        e = self.base("events")
+        e = self.base("events").crossJoin(self._agent_count())
         return (e.where(F.col("event_type") != "view")
                 .select(F.col("event_id").alias("id"),
                         F.col("user_id").alias("customer_id"),
-                        F.concat(F.lit("AGT-"), ((F.col("user_id") + F.col("event_id")) % 20).cast("string")).alias("agent_id"),
+                        F.concat(F.lit("AGT-"), ((F.col("user_id") + F.col("event_id")) % F.col("_agents")).cast("string")).alias("agent_id"),
                         F.col("event_type").alias("action_taken"),
                         F.when(F.col("event_type") == "purchase", "converted")
                          .when(F.col("event_type") == "error", "not_converted")
@@ -127,16 +127,18 @@ class Tables:
     def agents(self) -> DataFrame:
         s = self.base("supplier")
         n = self.base("nation").select("n_nationkey", "n_name")
-        return (s.where(F.col("s_suppkey") < 20)
-                .join(F.broadcast(n), s.s_nationkey == n.n_nationkey)
+        return (s.join(F.broadcast(n), s.s_nationkey == n.n_nationkey)
                 .select(F.concat(F.lit("AGT-"), F.col("s_suppkey").cast("string")).alias("agent_id"),
                         F.col("s_name").alias("name"), F.col("n_name").alias("region")))
 
     def assignments(self) -> DataFrame:
-        c = self.base("customer")
-        return (c.where(F.col("c_custkey") % 20 < 19)
-                .select(F.concat(F.lit("AGT-"), (F.col("c_custkey") % 20).cast("string")).alias("agent_id"),
-                        F.col("c_custkey").alias("customer_id")))
+        c = self.base("customer").crossJoin(self._agent_count())
+        return c.select(F.concat(F.lit("AGT-"), (F.col("c_custkey") % F.col("_agents")).cast("string")).alias("agent_id"),
+                        F.col("c_custkey").alias("customer_id"))
+
+    def _agent_count(self) -> DataFrame:
+        """One row: customers and feedback are dealt over all suppliers by their keys."""
+        return F.broadcast(self.base("supplier").agg(F.count(F.lit(1)).alias("_agents")))
 
     def request_log(self) -> DataFrame:
         e = self.base("events")
