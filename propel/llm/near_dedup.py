@@ -17,12 +17,13 @@
    (rare first), the first values of a set down to the last one that two similar sets can have
    as their first common value, and a bound of the common part by position and sizes. In a list
    only members outside its largest component look for partners, so the members
-   of a large group of near copies are never paired with each other. The links found there
-   complete the components.
+   of a large group of near copies are never paired with each other. They are compared
+   with the ``BEST`` members of that component that differ least from its common part, and,
+   where that gave no link, with all that fit. The links found there complete the components.
 
 Nulls and empty texts have no shingles and link with nothing. Repeated rows stay
 rows of their own and share a component. Ids may be of any type that has an order;
-rows without id never give a component its id. Extra columns are not read. Empty tables
+rows without id never give a component its id and are kept only where no row of it has one. Extra columns are not read. Empty tables
 give empty results.
 """
 
@@ -38,7 +39,7 @@ from pyspark.sql import functions as F
 from propel.llm.common import cut, with_fields
 from propel.llm.wordhash import WHITE, iter_words, shingles
 
-SKETCH, POSTED, LIST, HUBS = 64, 24, 12, 2
+SKETCH, POSTED, LIST, HUBS, BEST = 64, 24, 12, 2, 2
 #: standard deviations of a sketch estimate that candidates may fall short by
 SPREAD = 5
 
@@ -163,21 +164,26 @@ def _value_batches(batches):
                 yield pa.RecordBatch.from_arrays([full(b.column(0)[i]), full(b.column(1)[i]), pa.array(np.full(len(v), len(s))), pa.array(v)], ["key", "root", "n", "v"])
 
 
-def prefix_pairs(sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a < b) of classes of ``sets`` (key, root, g) with different roots: every pair that may
-    reach the similarity. Two sets with at least ``percent`` of their union in common have a first
-    common value, at places i and k in one order of all values; the common part is at most
-    n - i + 1 of the one and m - k + 1 of the other, and at least percent / (100 + percent) * (n + m)."""
+def prefix_rows(sets: DataFrame, percent: int) -> DataFrame:
+    """(v, key, n, top): the values of each class of ``sets`` (key, root, g) that may be its first
+    common value with a similar class of another root, in one order of all values (rare first).
+    Two sets with at least ``percent`` of their union in common have a first common value, at
+    places i and k; the common part is at most n - i + 1 of the one and m - k + 1 of the
+    other, and at least percent / (100 + percent) * (n + m). ``top`` is the largest partner that leaves."""
     vals = cut(sets.select("key", "root", "g").mapInArrow(_value_batches, "key long, root long, n long, v long"), "values")
     df = vals.groupBy("v").agg(F.count(F.lit(1)).alias("df"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("df > 1")
     shared = vals.join(df.select("v", "df", (F.col("lo") < F.col("hi")).alias("mixed")), "v")
     w = Window.partitionBy("key")
     place = F.col("n") - F.count(F.lit(1)).over(w) + F.row_number().over(w.orderBy("df", "v"))
-    # largest partner that the common part from this place on allows
     top = F.floor((100 + percent) * (F.col("n") - F.col("i") + 1) / percent - F.col("n") + 1e-9)
     pre = shared.withColumn("i", place).withColumn("top", top).where(F.col("mixed") & (100 * F.col("top") >= percent * F.col("n")))
-    pre = cut(pre.select("v", "key", "root", "n", "top"), "prefix")
-    # the largest component of each list, and what its other members allow
+    return cut(pre.select("v", "key", "n", "top"), "prefix")
+
+
+def seeking(pre: DataFrame, roots: DataFrame) -> DataFrame:
+    """Rows of ``pre`` with their root that can have a partner of another root in the list ``v``;
+    ``seeks`` marks those outside the list's largest component."""
+    pre = pre.join(roots, "key")
     by = pre.groupBy("v", "root").agg(F.count(F.lit(1)).alias("c"), F.min("n").alias("low"), F.max("top").alias("high"))
     main = by.groupBy("v").agg(F.max(F.struct("c", "root"))["root"].alias("main"), F.count(F.lit(1)).alias("k"),
                                F.min(F.struct("low", "root")).alias("low"), F.max(F.struct("high", "root")).alias("high")).where("k > 1")
@@ -187,9 +193,17 @@ def prefix_pairs(sets: DataFrame, percent: int) -> DataFrame:
     low = F.when(F.col("low.root") != F.col("root"), F.col("low.low")).otherwise(F.col("low2"))
     high = F.when(F.col("high.root") != F.col("root"), F.col("high.high")).otherwise(F.col("high2"))
     m = m.where((low <= F.col("top")) & (high >= F.col("n"))).select("v", "key", "root", "n", "top", (F.col("root") != F.col("main")).alias("seeks"))
-    m = cut(m, "seek")
+    return cut(m, "seek")
+
+
+def partner_pairs(m: DataFrame, percent: int, best: int | None = None) -> DataFrame:
+    """Pairs (a < b) of rows that seek with the rows they fit; with ``best``, only with so many rows
+    of the list's largest component, those that leave room for the largest partners."""
     x = m.where("seeks").select("v", *[F.col(c).alias(f"x_{c}") for c in ("key", "root", "n", "top")])
-    y = m.select("v", "seeks", *[F.col(c).alias(f"y_{c}") for c in ("key", "root", "n", "top")])
+    y = m
+    if best:
+        y = m.where("NOT seeks").withColumn("r", F.row_number().over(Window.partitionBy("v").orderBy(F.desc("top"), "key"))).where(F.col("r") <= best)
+    y = y.select("v", "seeks", *[F.col(c).alias(f"y_{c}") for c in ("key", "root", "n", "top")])
     fits = F.expr(f"x_root <> y_root AND y_n <= x_top AND x_n <= y_top AND 100 * least(x_n, y_n) >= {percent} * greatest(x_n, y_n) AND (NOT seeks OR x_key < y_key)")
     return x.join(y, "v").where(fits).select(F.least("x_key", "y_key").alias("a"), F.greatest("x_key", "y_key").alias("b")).distinct()
 
@@ -237,10 +251,16 @@ def link(classes: DataFrame, docs: DataFrame, text_col: str, k: int, percent: in
     left = cut(open_rows(long, roots).groupBy("key").agg(F.first("root").alias("root")), "open")
     if left.isEmpty():
         return roots
-    # what hubs did not join
+    # what hubs did not join: first with the members nearest to a group's common part, then with all
     grams = whole_sets(left.select("key"), classes, docs, text_col, k)
-    more = cut(likely(prefix_pairs(grams.join(left, "key"), percent), classes, percent), "pairs")
-    return cut(components(links.unionByName(similar(more, grams, percent))), "roots")
+    pre = prefix_rows(grams.join(left, "key"), percent)
+    for best in (BEST, None):
+        pairs = cut(likely(partner_pairs(seeking(pre, left), percent, best), classes, percent), "pairs")
+        links = links.unionByName(similar(pairs, grams, percent))
+        roots = cut(components(links), "roots")
+        left = left.select("key").join(roots, F.col("key") == F.col("node"), "left").select("key", F.coalesce("root", "key").alias("root"))
+        left = cut(left, "open")
+    return roots
 
 
 def near_duplicates(docs: DataFrame, id_col="doc_id", text_col="text", k: int = 5, percent: int = 80) -> DataFrame:
@@ -252,4 +272,4 @@ def near_duplicates(docs: DataFrame, id_col="doc_id", text_col="text", k: int =
     low = lab.where("root IS NOT NULL").groupBy("root").agg(F.min("id").alias("lo"))
     out = lab.join(low, "root", "left")
     return out.select("id", F.col("n").alias("n_shingles"), F.coalesce("lo", "id").alias("component_id"),
-                      F.coalesce(F.col("id") == F.coalesce("lo", "id"), F.lit(True)).alias("kept"))
+                      F.coalesce(F.col("id") == F.coalesce("lo", "id"), F.col("lo").isNull()).alias("kept"))
