@@ -4,7 +4,13 @@ Rates minimise relative entropy to one copy per document under one token
 constraint per source and a ceiling of ``cap`` copies: ``min(cap, exp(lambda * size /
 mean))``. Safeguarded Newton steps on the convex dual run as grouped aggregates over
 the (source, size) counts. Copies follow by systematic rounding along size, so the
-error stays within about one document a source. Null text: size 0; it costs nothing.
+error stays within about one document a source.
+
+Null and empty texts have size 0 and cost nothing; a source that holds only such texts
+has target 0 and each of its documents stays once. The null source is a source of its own. Rows
+that agree in all columns are alike: which of them is taken twice does not matter.
+Empty tables give empty results. Columns of ``docs`` are carried untouched, whatever their
+names (but for the four results).
 """
 
 from __future__ import annotations
@@ -37,11 +43,11 @@ def targets(totals: DataFrame, weights=(5.0, 2.0, 1.0), share: float = 1.5, cap:
 
 
 def solve(hist: DataFrame, tgt: DataFrame, cap: float = 2.0, rounds: int = 60, tol: float = 1e-5) -> DataFrame:
-    """(source, lam, mean, target, source_size): dual variable of each source."""
+    """(source, lam, mean, target, source_size): dual variable of each source that has words."""
     base = hist.groupBy("source").agg((F.sum(F.col("size") * F.col("n")) / F.sum("n")).alias("mean"),
                                       F.min(F.when(F.col("size") > 0, F.col("size"))).alias("least_size"))
-    st = tgt.select("source", "target", "source_size").join(
-        base.withColumnRenamed("source", "s2"), F.expr("source <=> s2")).drop("s2")
+    words = base.where("least_size IS NOT NULL").withColumnRenamed("source", "s2")
+    st = tgt.select("source", "target", "source_size").join(words, F.expr("source <=> s2")).drop("s2")
     hi = F.log(F.lit(cap)) * F.col("mean") / F.col("least_size")
     st = cut(st.withColumn("lam", F.lit(0.0)).withColumn("lo", F.lit(-1e6)).withColumn("hi", F.coalesce(hi, F.lit(0.0))), "mix-dual")
     for _ in range(rounds):
@@ -54,7 +60,7 @@ def solve(hist: DataFrame, tgt: DataFrame, cap: float = 2.0, rounds: int = 60, t
         err = F.col("got") - F.col("target")
         x = x.withColumn("lo", F.when(err < 0, F.col("lam")).otherwise(F.col("lo"))) \
              .withColumn("hi", F.when(err > 0, F.col("lam")).otherwise(F.col("hi")))
-        step = F.col("lam") - err / F.col("slope")
+        step = F.col("lam") - F.try_divide(err, F.col("slope"))
         mid = (F.col("lo") + F.col("hi")) / 2
         done = (F.abs(err) <= tol * F.greatest(F.col("target"), F.lit(1.0))) | (F.col("source_size") == 0)
         nxt = F.when(done, F.col("lam")).when((F.col("slope") > 0) & (step >= F.col("lo")) & (step <= F.col("hi")), step).otherwise(mid)
@@ -65,17 +71,21 @@ def solve(hist: DataFrame, tgt: DataFrame, cap: float = 2.0, rounds: int = 60, t
     return st
 
 
-def mix(docs: DataFrame, source_col="source", text_col="text", weights=(5.0, 2.0, 1.0), share=1.5, cap=2.0) -> DataFrame:
-    """``docs`` plus __size, __source_size, __target, __copies (0..cap)."""
-    d = (docs.withColumn("__s", F.col(f"`{source_col}`"))
-         .withColumn("__size", F.regexp_count(F.coalesce(F.col(f"`{text_col}`"), F.lit("")), F.lit(WORD)).cast("long"))
-         .withColumn("__h", F.xxhash64(F.col(f"`{text_col}`"), *[F.col(f"`{c}`") for c in docs.columns if c != text_col])))
-    hist = cut(d.groupBy(F.col("__s").alias("source"), F.col("__size").alias("size")).agg(F.count(F.lit(1)).alias("n")), "mix-hist")
+def mix(docs: DataFrame, source_col="source", text_col="text", weights=(5.0, 2.0, 1.0), share=1.5, cap=2.0,
+        keep: list[str] | None = None) -> DataFrame:
+    """The columns ``keep`` (all by default) plus __size, __source_size, __target, __copies (0..cap)."""
+    d = cut(docs.select(F.struct(*[F.col(f"`{c}`") for c in (docs.columns if keep is None else keep)]).alias("doc"),
+                        F.col(f"`{source_col}`").alias("s"),
+                        F.regexp_count(F.coalesce(F.col(f"`{text_col}`"), F.lit("")), F.lit(WORD)).cast("long").alias("size"),
+                        F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]).alias("h")), "mix-rows")
+    hist = cut(d.groupBy(F.col("s").alias("source"), "size").agg(F.count(F.lit(1)).alias("n")), "mix-hist")
     tot = hist.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"))
-    dual = solve(hist, targets(tot, weights, share, cap), cap)
-    a = hist.join(dual.withColumnRenamed("source", "s2"), F.expr("source <=> s2")).drop("s2")
-    rate = F.when(F.col("target") >= cap * F.col("source_size"), F.lit(cap)).otherwise(
-        F.exp(F.least(F.log(F.lit(cap)), F.col("lam") * F.col("size") / F.col("mean"))))
+    tgt = targets(tot, weights, share, cap)
+    dual = solve(hist, tgt, cap).select(F.col("source").alias("s2"), "lam", "mean")
+    a = hist.join(tgt.select(F.col("source").alias("s1"), "source_size", "target"), F.expr("source <=> s1")).drop("s1")
+    a = a.join(dual, F.expr("source <=> s2"), "left").drop("s2")
+    tilted = F.exp(F.least(F.log(F.lit(cap)), F.col("lam") * F.col("size") / F.col("mean")))
+    rate = F.when(F.col("lam").isNull(), 1.0).when(F.col("target") >= cap * F.col("source_size"), F.lit(cap)).otherwise(tilted)
     w = Window.partitionBy("source").orderBy("size").rowsBetween(Window.unboundedPreceding, 0)
     a = a.withColumn("mass", F.col("n") * rate).withColumn("cum", F.sum("mass").over(w))
     # copies of all documents of one source and size
@@ -83,16 +93,16 @@ def mix(docs: DataFrame, source_col="source", text_col="text", weights=(5.0, 2.0
     # a hot (source, size) is dealt over sub-groups by hash; each takes its even share
     a = a.withColumn("nb", F.ceil(F.col("n") / GROUP).cast("long"))
     a = a.select(F.col("source").alias("s2"), F.col("size").alias("z2"), "source_size", "target", "n", "c", "nb")
-    d = d.join(a, F.expr("__s <=> s2 AND __size = z2")).withColumn("__b", F.pmod("__h", F.col("nb")))
-    key = ["__s", "__size", "__b"]
+    d = d.join(a, F.expr("s <=> s2 AND size = z2")).withColumn("b", F.pmod("h", F.col("nb")))
+    key = ["s", "size", "b"]
     counts = d.groupBy(*key).agg(F.count(F.lit(1)).alias("nbk"), F.first("n").alias("n0"), F.first("c").alias("c0"))
-    o = Window.partitionBy("__s", "__size").orderBy("__b").rowsBetween(Window.unboundedPreceding, 0)
+    o = Window.partitionBy("s", "size").orderBy("b").rowsBetween(Window.unboundedPreceding, 0)
     counts = counts.withColumn("cu", F.sum("nbk").over(o))
     share_to = lambda x: F.floor(x * F.col("c0") / F.col("n0"))
     counts = counts.withColumn("cb", share_to(F.col("cu")) - share_to(F.col("cu") - F.col("nbk")))
-    counts = counts.select(F.col("__s").alias("s3"), F.col("__size").alias("z3"), F.col("__b").alias("b3"), "nbk", "cb")
-    d = d.join(counts, F.expr("__s <=> s3 AND __size = z3 AND __b = b3"))
-    rank = F.row_number().over(Window.partitionBy(*key).orderBy("__h"))
+    counts = counts.select(F.col("s").alias("s3"), F.col("size").alias("z3"), F.col("b").alias("b3"), "nbk", "cb")
+    d = d.join(counts, F.expr("s <=> s3 AND size = z3 AND b = b3"))
+    rank = F.row_number().over(Window.partitionBy(*key).orderBy("h"))
     copies = F.floor(F.col("cb") / F.col("nbk")) + (rank <= F.col("cb") % F.col("nbk")).cast("long")
-    return d.withColumn("__copies", copies).withColumn("__target", F.col("target")).withColumn("__source_size", F.col("source_size")) \
-        .select(*[F.col(f"`{c}`") for c in docs.columns], "__size", "__source_size", "__target", "__copies")
+    return d.withColumn("__copies", copies).select("doc.*", F.col("size").alias("__size"), F.col("source_size").alias("__source_size"),
+                                                   F.col("target").alias("__target"), "__copies")

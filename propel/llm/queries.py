@@ -50,7 +50,7 @@ def op4_hypergeometric_shards(spark, sf_dir):
 
 @query
 def op5_entropy_mix(spark, sf_dir):
-    d = em.mix(table(spark, sf_dir, "documents"))
+    d = em.mix(table(spark, sf_dir, "documents"), keep=["doc_id"])
     return d.select("doc_id", F.col("__size").alias("size"), F.col("__source_size").cast("long").alias("source_size"),
                     F.col("__target").alias("target"), (F.col("__copies") * F.col("__size")).cast("long").alias("taken"))
 
