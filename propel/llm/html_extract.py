@@ -2,7 +2,8 @@
 
 Each page becomes a light DOM (numpy-free Python inside tasks). A node's density is its
 characters per tag, lowered by the share of its characters that stand in links; the
-density sum of a node adds up its children. The subtree with the largest sum, widened to
+density sum of a node adds up its children, text that stands directly in the node counting
+with its characters. The subtree with the largest sum, widened to
 an enclosing article or main element, is content; the least density on its path to the body
 is the threshold, and every other node at or above it counts as content as well. Short
 pieces fall below any density, so siblings of content go with it: headings, paragraphs and
@@ -16,7 +17,13 @@ where a third of the characters stand in links, and halve the density elsewhere.
 cuts what holds every article and main element or, on pages without any, at least half of
 the characters with less than a third in links.
 
-Null or empty html gives an empty text. Unclosed, stray and truncated tags are tolerated.
+Null or empty html gives an empty text, an empty table an empty result. Unclosed, stray and
+truncated tags are tolerated: an svg, iframe, button or the like that closes itself or is
+never closed ends at its own tag, only script and style run to the end. The text of
+noscript counts as markup for other readers and is left out. Every page is read by itself,
+so repeated rows agree. Pages may be of any length (one stays in the task that reads it).
+Columns of ``pages`` are carried untouched, whatever their names (but for ``text``, which
+the result replaces).
 """
 
 from __future__ import annotations
@@ -29,13 +36,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from propel.llm.common import with_fields
+
 # fixed values: HTML element classes
 FLOW = set("h1 h2 h3 h4 h5 h6 p blockquote pre ul ol dl table figure".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = ("script", "style", "noscript", "template", "textarea", "title", "iframe", "svg", "select", "button")
+CODE = ("script", "style")
 CUT = set("head nav footer aside form header menu dialog".split()) | set(RAW)
 BLOCK = set("address article blockquote body br center dd details div dl dt fieldset figcaption figure h1 h2 h3 h4 h5 h6 hr html li main ol p pre section summary table tbody td tfoot th thead tr ul".split())
-STRONG = set("ad ads advert adverts advertisement advertising sponsor sponsored sponsors promo promos promotion newsletter popup disqus comment comments sidebar".split())
+STRONG = set("ad ads advert adverts advertisement advertising sponsor sponsored sponsors promo promos promotion newsletter popup disqus comment comments responses replies sidebar".split())
 WEAK = set("banner notice side menu nav navbar navigation footer header breadcrumb breadcrumbs share sharing social related modal login widget widgets contentinfo search".split())
 TOPIC = set("cookie cookies consent subscribe".split())
 FILL = set("site page top bottom left right box bar list item items link links post posts slot area section container wrapper wrap block buttons icons main".split())
@@ -84,8 +94,9 @@ def parse(page: str) -> Node:
                 at = x.up
             continue
         if tag in RAW:
-            end = re.compile(r"</" + re.escape(tag) + r"\s*>", re.I).search(page, pos)
-            pos = end.end() if end else n
+            # a self-closed one is empty; one that is never closed ends at its own tag, but for code
+            end = None if m[4].endswith("/") and tag not in CODE else re.compile(r"</" + re.escape(tag) + r"\s*>", re.I).search(page, pos)
+            pos = end.end() if end else n if tag in CODE else pos
             continue
         if tag in ("p", "li", "td", "th", "tr", "dt", "dd", "h1", "h2", "h3", "h4", "h5", "h6") or tag in BLOCK:
             x = at  # an open paragraph ends where a block begins; so does an item where its like begins
@@ -247,6 +258,7 @@ def _batches(batches):
 
 def extract(pages: DataFrame, keep: list[str], html_col: str = "html") -> DataFrame:
     """``keep`` columns of every page plus ``text``."""
-    src = pages.select(F.col(f"`{html_col}`").alias("__h"), *[F.col(f"`{c}`") for c in keep])
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields[1:])
-    return src.mapInArrow(_batches, f"{schema}, text string")
+    keep = [c for c in keep if c != "text"]
+    src = pages.select(F.col(f"`{html_col}`").cast("string").alias("h"), F.struct(*[F.col(f"`{c}`") for c in keep]).alias("page"))
+    out = src.mapInArrow(_batches, with_fields(src.select("page").schema, "text string"))
+    return out.select("page.*", "text")
