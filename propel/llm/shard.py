@@ -5,8 +5,10 @@ partition the exact counts it sends to each shard are drawn from the multivariat
 hypergeometric law of the places still free, so shard sizes are exact. Each
 partition permutes its rows locally and deals them out by its counts; rows are
 exchanged by (shard, block of the second permutation) and permuted again, which
-gives the slot. Equal texts are not kept together: the shuffle is uniform. Null
-texts have size 1. Extra columns are carried; names starting with ``__`` are taken.
+gives the slot. Equal texts are not kept together: the shuffle is uniform, and repeated rows,
+ties and nulls in any column are rows like all others. An empty table gives an empty
+result. Columns of ``docs`` are carried untouched, whatever their names (but for ``shard``
+and ``slot``, which the result replaces).
 """
 
 from __future__ import annotations
@@ -53,32 +55,37 @@ def matrix(counts: list[int], shards: int, seed: int) -> np.ndarray:
 
 def shard_rows(docs: DataFrame, shards: int = 16, seed: int = 17) -> DataFrame:
     """``docs`` plus shard (int) and slot (long, gapless from 0 in each shard)."""
-    rows = cut(docs.withColumn("__rid", F.monotonically_increasing_id()), "shard-rows")
-    part = F.shiftright("__rid", 33)
+    own = [F.col(f"`{c}`") for c in docs.columns if c not in ("shard", "slot")]
+    rows = cut(docs.select(F.struct(*own).alias("doc"), F.monotonically_increasing_id().alias("rid")), "shard-rows")
+    part = F.shiftright("rid", 33)
     got = rows.groupBy(part.alias("p")).agg(F.count(F.lit(1)).alias("n")).orderBy("p").collect()  # a row a partition
     sc = docs.sparkSession.sparkContext
     where = sc.broadcast(({r.p: (i, r.n) for i, r in enumerate(got)}, matrix([r.n for r in got], shards, seed)))
 
+    last = {}       # the permutation of the partition at hand, made once in a worker
+
     @F.pandas_udf("int")
     def deal(rid: pd.Series) -> pd.Series:
         index, m = where.value
         rid = rid.to_numpy()
         p, out = rid >> 33, np.zeros(len(rid), np.int32)
         for q in np.unique(p):
-            i, n = index[int(q)]
-            perm = np.random.default_rng([seed, int(q)]).permutation(n)  # local permutation
+            if q not in last:
+                i, n = index[int(q)]
+                last.clear()
+                perm = np.random.default_rng([seed, int(q)]).permutation(n)  # local permutation
+                last[q] = np.searchsorted(np.cumsum(m[i]), perm, side="right").astype(np.int32)
             at = p == q
-            out[at] = np.searchsorted(np.cumsum(m[i]), perm[rid[at] & ((1 << 33) - 1)], side="right")
+            out[at] = last[q][rid[at] & ((1 << 33) - 1)]
         return pd.Series(out)
 
     total = sum(r.n for r in got)
     blocks = max(1, -(-total // (shards * BLOCK)))
-    key = F.xxhash64("__rid", F.lit(seed))
-    d = rows.withColumn("__shard", deal("__rid")).withColumn("__key", key).withColumn("__block", F.pmod("__key", F.lit(blocks)))
+    key = F.xxhash64("rid", F.lit(seed))
+    d = rows.withColumn("shard", deal("rid")).withColumn("key", key).withColumn("block", F.pmod("key", F.lit(blocks)))
     w = Window.partitionBy("s").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
-    start = cut(d.groupBy(F.col("__shard").alias("s"), F.col("__block").alias("b")).agg(F.count(F.lit(1)).alias("n")), "shard-blocks")
+    start = cut(d.groupBy(F.col("shard").alias("s"), F.col("block").alias("b")).agg(F.count(F.lit(1)).alias("n")), "shard-blocks")
     start = start.select("s", "b", F.coalesce(F.sum("n").over(w), F.lit(0)).alias("o"))
-    rank = F.row_number().over(Window.partitionBy("__shard", "__block").orderBy("__key", "__rid"))  # second permutation
-    d = d.withColumn("__rank", rank).join(start, (F.col("__shard") == F.col("s")) & (F.col("__block") == F.col("b")))
-    return d.select(*[F.col(f"`{c}`") for c in docs.columns], F.col("__shard").alias("shard"),
-                    (F.col("o") + F.col("__rank") - 1).cast("long").alias("slot"))
+    rank = F.row_number().over(Window.partitionBy("shard", "block").orderBy("key", "rid"))  # second permutation
+    d = d.withColumn("rank", rank).join(start, (F.col("shard") == F.col("s")) & (F.col("block") == F.col("b")))
+    return d.select("doc.*", "shard", (F.col("o") + F.col("rank") - 1).cast("long").alias("slot"))
