@@ -84,12 +84,10 @@ def op3_license_scan(spark, sf_dir):
 @query
 def op6_quality_rules(spark, sf_dir):
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    some = labels.select("doc_id", "quality").where("quality IS NOT NULL").orderBy(F.xxhash64("doc_id"), "doc_id").limit(qr.MAX_LABELLED)
-    known = docs.join(some, "doc_id")
-    rules = qr.learn(qr.statistics(known).withColumn("bad", F.col("quality") == 0))
-    d = qr.statistics(docs).withColumn("base_failed", qr.base_failed())
+    rules = qr.learn(qr.labelled(docs, labels))
+    d = qr.statistics(docs.select("doc_id", "text")).select("doc_id", "__stats.*").withColumn("base_failed", qr.base_failed())
     kept = F.when(F.col("base_failed"), False).otherwise(qr.verdict(rules))
-    return d.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"))
+    return d.select("doc_id", *qr.COUNTS, "base_failed", kept.alias("kept"))
 
 
 def vocabulary(name: str) -> str:

@@ -163,7 +163,7 @@ def test_license_base(spark):
 
 def test_quality_statistics(spark):
     rows = [(r["doc_id"], r["text"]) for r in docs()] + [(-1, None), (-2, "a a a a"), (-3, " x\n\n \nx\n x\nx"), (-4, "a b c a b c a b")]
-    got = {r.doc_id: r for r in quality_rules.statistics(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    got = {r.doc_id: r["__stats"] for r in quality_rules.statistics(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     for d, t in rows:
         t = t or ""
         w = re.findall(WHITE, t)
