@@ -120,6 +120,25 @@ def q_latency_quantile(t):
     return mt.latency_quantiles(rl(t))
 
 
+SKETCH_ERROR = 0.01
+_G = (1 + SKETCH_ERROR) / (1 - SKETCH_ERROR)
+_SKETCH_QS = (0.5, 0.95, 0.99)
+
+
+@query("latency_quantile_sketch", f"""
+WITH s AS (SELECT endpoint, CASE WHEN duration_seconds > 0 THEN CAST(ceil(ln(CAST(duration_seconds AS DOUBLE)) / ln(CAST({_G!r} AS DOUBLE))) AS BIGINT) END AS bucket,
+                  count(*) AS n FROM request_log WHERE duration_seconds IS NOT NULL GROUP BY 1, 2),
+c AS (SELECT *, sum(n) OVER (PARTITION BY endpoint ORDER BY bucket NULLS FIRST) AS cum, sum(n) OVER (PARTITION BY endpoint) AS total,
+             coalesce(2 * power(CAST({_G!r} AS DOUBLE), bucket) / ({_G!r} + 1), 0) AS mid FROM s)
+SELECT endpoint, CAST(max(total) AS BIGINT) AS requests,
+  {', '.join(R(f"min(CASE WHEN cum >= greatest(ceil(total * CAST({q} AS DOUBLE)), 1) THEN mid END)", f"p{int(round(q * 100))}") for q in _SKETCH_QS)}
+FROM c GROUP BY endpoint""")
+def q_latency_quantile_sketch(t):
+    """Sketches of six-hour windows, merged per endpoint."""
+    sketch = mt.latency_sketch(rl(t), SIZE, error=SKETCH_ERROR)
+    return mt.sketch_quantiles(mt.merge_sketches(sketch), _SKETCH_QS, error=SKETCH_ERROR)
+
+
 @query("cache_miss_ratio", f"""
 SELECT {WSEL}, count_if(cache_hit) AS hits, count_if(NOT cache_hit) AS misses,
   {R('count_if(NOT cache_hit) / count(*)', 'miss_ratio')}, count_if(NOT cache_hit) / count(*) > {mt.CACHE_MISS_ALERT} AS alert

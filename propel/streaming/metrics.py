@@ -31,8 +31,6 @@ BATCH_LATENCY_ALERT = 2.0
 AVAILABILITY_ALERT = 0.01
 ABSENT_SECONDS = 600
 REPEAT_INTERVAL = "12 hours"
-RATE_LIMIT_PER_MINUTE = 60
-CACHE_TTL_SECONDS = 300
 RETRAIN_AFTER = 10
 
 
@@ -58,17 +56,33 @@ def _flat(df: DataFrame) -> DataFrame:
                      *[c for c in df.columns if c != "window"])
 
 
+def _sliding(df: DataFrame, size: str, slide: str | None, keys: Sequence, **sums: Column) -> DataFrame:
+    """(window, keys, sums) of sliding windows. Rows are summed once per pane of one slide and
+    key; windows add up their panes, so it is panes, not rows, that are copied into each
+    window that holds them. A size that is no multiple of the slide sums rows directly.
+    In a stream a row counts as long as its pane is open under the watermark."""
+    slide = slide or size
+    named = [F.col(k) if isinstance(k, str) else k for k in keys]
+    agg = [F.sum(v).alias(k) for k, v in sums.items()]
+    if slide == size or seconds(size) % seconds(slide):
+        return df.groupBy(_win(size, slide), *named).agg(*agg)
+    panes = df.groupBy(_win(slide, None), *named).agg(*agg)
+    names = [c for c in panes.columns if c != "window" and c not in sums]
+    panes = panes.select(F.window_time("window").alias("_pane"), *names, *sums)
+    return panes.groupBy(F.window("_pane", size, slide).alias("window"), *names).agg(*[F.sum(k).alias(k) for k in sums])
+
+
 def request_rate(df: DataFrame, size: str = "5 minutes", slide: str = "30 seconds",
                  keys: Sequence[str] = ()) -> DataFrame:
     """Requests per second in each sliding window."""
-    g = df.groupBy(_win(size, slide), *keys).agg(F.count(F.lit(1)).alias("requests"))
+    g = _sliding(df, size, slide, keys, requests=F.lit(1).cast("long"))
     return _flat(g.withColumn("rate_per_s", F.col("requests") / seconds(size)))
 
 
 def status_class_rate(df: DataFrame, size: str = "5 minutes", slide: str = "30 seconds") -> DataFrame:
     """Rate per status class (2xx / 4xx / 5xx)."""
     cls = F.concat((F.col("status") / 100).cast("int").cast("string"), F.lit("xx")).alias("status_class")
-    g = df.groupBy(_win(size, slide), cls).agg(F.count(F.lit(1)).alias("requests"))
+    g = _sliding(df, size, slide, [cls], requests=F.lit(1).cast("long"))
     return _flat(g.withColumn("rate_per_s", F.col("requests") / seconds(size)))
 
 
@@ -81,6 +95,7 @@ def endpoint_rate(df: DataFrame, pattern: str, size: str = "5 minutes", slide: s
 def mean_latency(df: DataFrame, size: str = "5 minutes", slide: str = "30 seconds",
                  keys: Sequence[str] = ()) -> DataFrame:
     """Mean duration per window; level warning > 0.5 s, critical > 1 s."""
+    # averaged over rows, not panes: a sum of double sums would differ in its last bits
     g = _flat(df.groupBy(_win(size, slide), *keys).agg(F.avg("duration_seconds").alias("mean_latency"),
                                                        F.count(F.lit(1)).alias("requests")))
     lvl = (F.when(F.col("mean_latency") > LATENCY_CRIT, "critical")
@@ -90,8 +105,7 @@ def mean_latency(df: DataFrame, size: str = "5 minutes", slide: str = "30 second
 
 def error_ratio(df: DataFrame, size: str = "1 hour", slide: str | None = None) -> DataFrame:
     """5xx share of all requests per window (SLA breach above 0.1%) and the bare 5xx rate."""
-    g = df.groupBy(_win(size, slide)).agg(F.count(F.lit(1)).alias("requests"),
-                                          F.count_if(F.col("status") >= 500).alias("errors"))
+    g = _sliding(df, size, slide, [], requests=F.lit(1).cast("long"), errors=F.coalesce((F.col("status") >= 500).cast("long"), F.lit(0).cast("long")))
     return _flat(g).select("*", (F.col("errors") / F.col("requests")).alias("error_ratio"),
                            (F.col("errors") / seconds(size)).alias("error_rate_per_s"),
                            (F.col("errors") / F.col("requests") > SLA_ERROR_RATIO).alias("sla_breach"))
@@ -153,6 +167,38 @@ def latency_quantiles_approx(df: DataFrame, qs: Sequence[float] = (0.5, 0.95, 0.
                            ).drop("_q")
 
 
+def latency_sketch(df: DataFrame, size: str = "5 minutes", keys: Sequence[str] = ("endpoint",), error: float = 0.01,
+                   col: str = "duration_seconds") -> DataFrame:
+    """Mergeable latency sketch: rows (window_start, window_end, keys, bucket, n). Bucket b holds the
+    durations in (g**(b-1), g**b] with g = (1 + error) / (1 - error), so any quantile of it is within the
+    relative ``error``; null bucket: durations of zero or less. Sketches merge by adding n, over
+    windows, keys or batches (:func:`merge_sketches`)."""
+    g = (1 + error) / (1 - error)
+    v = F.col(col).cast("double")
+    b = F.when(v > 0, F.ceil(F.log(v) / F.log(F.lit(g)))).cast("long").alias("bucket")
+    return _flat(df.where(F.col(col).isNotNull()).groupBy(_win(size, None), *keys, b).agg(F.count(F.lit(1)).alias("n")))
+
+
+def merge_sketches(sketch: DataFrame, keys: Sequence[str] = ("endpoint",), size: str | None = None) -> DataFrame:
+    """Sketch rows per ``keys`` over all windows, or over windows of ``size``."""
+    if size is None:
+        return sketch.groupBy(*keys, "bucket").agg(F.sum("n").alias("n"))
+    return _flat(sketch.groupBy(F.window("window_start", size).alias("window"), *keys, "bucket").agg(F.sum("n").alias("n")))
+
+
+def sketch_quantiles(sketch: DataFrame, qs: Sequence[float] = (0.5, 0.95, 0.99), keys: Sequence[str] = ("endpoint",), error: float = 0.01) -> DataFrame:
+    """Quantiles (rank ceil(q * n)) within the relative ``error``. Buckets per key are few: the
+    logarithm of the range of durations over log g."""
+    g = (1 + error) / (1 - error)
+    w = Window.partitionBy(*keys)
+    at = w.orderBy(F.col("bucket").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
+    s = sketch.withColumn("_cum", F.sum("n").over(at)).withColumn("_all", F.sum("n").over(w))
+    mid = F.coalesce(2 * F.pow(F.lit(g), F.col("bucket")) / (g + 1), F.lit(0.0))
+    need = [F.greatest(F.ceil(F.col("_all") * F.lit(float(q))), F.lit(1)) for q in qs]
+    return s.groupBy(*keys).agg(F.max("_all").alias("requests"),
+                                *[F.min(F.when(F.col("_cum") >= n, mid)).alias(f"p{int(round(q * 100))}") for q, n in zip(qs, need)])
+
+
 def cache_miss_ratio(df: DataFrame, size: str = "5 minutes", slide: str | None = None) -> DataFrame:
     g = df.groupBy(_win(size, slide)).agg(F.count_if(F.col("cache_hit")).alias("hits"),
                                           F.count_if(~F.col("cache_hit")).alias("misses"))
