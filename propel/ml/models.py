@@ -12,7 +12,6 @@ from collections.abc import Sequence
 from dataclasses import fields
 
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -21,6 +20,7 @@ from propel.functions.core import md5_mod, safe_div
 from propel.functions.prefix import running_sums
 from propel.ml import boosting as gb
 from propel.ml import parzen, shap
+from propel.ml import segments as seg
 from propel.operators import decisions as dc
 from propel.session import materialize
 
@@ -93,9 +93,9 @@ def propensity_decide(model: gb.Model | None, df: DataFrame, features: Sequence[
                          *[F.lit(v).alias(k) for k, v in FALLBACK.items()],
                          F.lit(as_of).cast("timestamp").alias("prediction_timestamp"))
     s = score(model, df.fillna(0, subset=[c for c in features if c in df.columns]))
-    seg = dc.segment_by_value("monetary") if "monetary" in df.columns else F.lit(0)
+    group = dc.segment_by_value("monetary") if "monetary" in df.columns else F.lit(0)
     return (s.withColumn("propensity_score", F.round("propensity_score", 4))
-            .withColumn("segment", seg)
+            .withColumn("segment", group)
             .withColumn("segment_name", dc.lookup(dc.SEGMENT_NAMES, "segment", "Unknown"))
             .withColumn("recommended_product", dc.recommend_product("segment"))
             .withColumn("recommended_channel", dc.recommend_channel("propensity_score"))
@@ -184,27 +184,12 @@ def standardize(df: DataFrame, cols: Sequence[str], keep: Sequence[str] = ()) ->
     return j.select(*[F.col(k) for k in keep], *z)
 
 
-def _parallel(fn, items, parallelism: int):
-    """Run independent Spark jobs from a small thread pool (driver-side scheduling only)."""
-    from concurrent.futures import ThreadPoolExecutor
-    with ThreadPoolExecutor(max_workers=max(1, parallelism)) as ex:
-        return list(ex.map(fn, items))
-
-
 def kmeans_segments(df: DataFrame, cols: Sequence[str], key: str, k: int = KMEANS_K, starts: int = KMEANS_STARTS,
-                    seed: int = SEED, parallelism: int | None = None) -> tuple[DataFrame, float]:
-    """k-means on standardized columns, best of ``starts`` seeds by training cost."""
-    z = standardize(df.fillna(0, subset=list(cols)), cols, keep=[key])
-    v = VectorAssembler(inputCols=list(cols), outputCol="features").transform(z).cache()
-
-    def fit(i):
-        m = KMeans(k=k, seed=seed + i, featuresCol="features", predictionCol="segment").fit(v)
-        return m.summary.trainingCost, i, m
-    # the starts are independent Spark jobs: submit them concurrently
-    fits = _parallel(fit, range(starts), parallelism or min(starts, df.sparkSession.sparkContext.defaultParallelism))
-    cost, _, best = min(fits, key=lambda x: (x[0], x[1]))
-    out = best.transform(v).select(key, "segment")
-    return out, float(cost)
+                    seed: int = SEED, cats: Sequence[str] = (), gamma: float = 0.5) -> tuple[DataFrame, float]:
+    """k-means on standardized columns, best of ``starts`` runs by cost; with categorical columns
+    ``cats`` k-prototypes (``gamma`` per differing category). All starts share each pass."""
+    z = standardize(df.fillna(0, subset=list(cols)), cols, keep=[key, *cats])
+    return seg.segments(z, key, cols, cats, k, starts, seed, gamma)
 
 
 def name_segments(df: DataFrame, segment: str = "segment", value: str = "monetary",
