@@ -208,42 +208,87 @@ def drift_means(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return one.select(F.inline(arr))
 
 
+def _long(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """(feature, x) of the non-null values of all columns."""
+    arr = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("x")) for c in cols])
+    return df.select(F.inline(arr)).where(F.col("x").isNotNull())
+
+
+def _psi(pc, pb, eps: float):
+    c, b = F.greatest(F.coalesce(pc, F.lit(0.0)), F.lit(eps)), F.greatest(F.coalesce(pb, F.lit(0.0)), F.lit(eps))
+    return (c - b) * F.log(c / b)
+
+
 def drift_vs_baseline(baseline: DataFrame, current: DataFrame, cols: Sequence[str], bins: int = 10,
                       eps: float = 1e-6) -> DataFrame:
-    """Mean shift in baseline standard deviations and PSI over baseline decile bins."""
+    """Mean shift in baseline standard deviations and PSI over baseline decile bins. All columns
+    go through each pass together."""
     from propel.functions.quantile import exact_quantiles
-    rows = []
+    from propel.session import materialize
+    b, c = materialize(_long(baseline, cols)), materialize(_long(current, cols))
     qs = [i / bins for i in range(1, bins)]
-    for c in cols:
-        edges = exact_quantiles(baseline, c, qs)
-        edge_arr = F.array(*[F.col(f"q{i}") for i in range(len(qs))])
-        edges = edges.select(edge_arr.alias("_e"))
-
-        def binned(df, name):
-            x = df.select(F.col(c).cast("double").alias("_x")).where(F.col("_x").isNotNull())
-            x = x.crossJoin(F.broadcast(edges))
-            x = x.withColumn("_bin", F.size(F.filter("_e", lambda e: F.col("_x") > e)))
-            tot = x.agg(F.count(F.lit(1)).alias("_t"))
-            return (x.groupBy("_bin").agg(F.count(F.lit(1)).alias("_n")).crossJoin(F.broadcast(tot))
-                    .select("_bin", (F.col("_n") / F.col("_t")).alias(name)))
-        b = binned(baseline, "pb")
-        cu = binned(current, "pc")
-        spine = baseline.sparkSession.range(bins).select(F.col("id").cast("int").alias("_bin"))
-        psi_t = (spine.join(b, "_bin", "left").join(cu, "_bin", "left")
-                 .select(F.greatest(F.coalesce("pb", F.lit(0.0)), F.lit(eps)).alias("pb"),
-                         F.greatest(F.coalesce("pc", F.lit(0.0)), F.lit(eps)).alias("pc"))
-                 .agg(F.sum((F.col("pc") - F.col("pb")) * F.log(F.col("pc") / F.col("pb"))).alias("psi")))
-        bs = baseline.agg(F.avg(c).alias("baseline_mean"), F.stddev_samp(c).alias("baseline_std"))
-        cs = current.agg(F.avg(c).alias("current_mean"))
-        r = (bs.crossJoin(cs).crossJoin(psi_t)
-             .select(F.lit(c).alias("feature"), "baseline_mean", "baseline_std", "current_mean",
-                     F.try_divide(F.col("current_mean") - F.col("baseline_mean"), F.col("baseline_std"))
-                     .alias("mean_shift_std"), "psi"))
-        rows.append(r)
-    out = rows[0]
-    for r in rows[1:]:
-        out = out.unionByName(r)
-    return out
+    edges = exact_quantiles(b, "x", qs, group=["feature"]).select("feature", F.array(*[F.col(f"q{i}") for i in range(len(qs))]).alias("_e"))
+
+    def shares(df, name):
+        x = df.join(F.broadcast(edges), "feature")                              # a row per column
+        n = x.groupBy("feature", F.size(F.filter("_e", lambda e: F.col("x") > e)).alias("_bin")).agg(F.count(F.lit(1)).alias("_n"))
+        tot = n.groupBy("feature").agg(F.sum("_n").alias("_t"))
+        return n.join(F.broadcast(tot), "feature").select("feature", "_bin", (F.col("_n") / F.col("_t")).alias(name))
+    names = baseline.sparkSession.createDataFrame([(i, c) for i, c in enumerate(cols)], "_i int, feature string")
+    spine = names.select("feature", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("_bin"))
+    psi = (spine.join(shares(b, "pb"), ["feature", "_bin"], "left").join(shares(c, "pc"), ["feature", "_bin"], "left")
+           .groupBy("feature").agg(F.sum(_psi(F.col("pc"), F.col("pb"), eps)).alias("psi")))
+    bs = b.groupBy("feature").agg(F.avg("x").alias("baseline_mean"), F.stddev_samp("x").alias("baseline_std"))
+    cs = c.groupBy("feature").agg(F.avg("x").alias("current_mean"))
+    return (names.join(bs, "feature", "left").join(cs, "feature", "left").join(psi, "feature", "left")
+            .select("feature", "baseline_mean", "baseline_std", "current_mean",
+                    F.try_divide(F.col("current_mean") - F.col("baseline_mean"), F.col("baseline_std")).alias("mean_shift_std"), "psi"))
+
+
+#: KLL sketch size, and the rank error that it keeps with 99% confidence
+SKETCH_K, SKETCH_RANK_ERROR = 1000, 0.004
+
+
+def drift_profile(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """One small row per column, to be stored with the model: n, mean, m2 (squared deviations)
+    and a quantile sketch. Profiles of parts merge (:func:`merge_profiles`)."""
+    g = _long(df, cols).groupBy("feature").agg(F.count(F.lit(1)).alias("n"), F.avg("x").alias("mean"), F.var_pop("x").alias("_v"),
+                                               F.kll_sketch_agg_double("x", SKETCH_K).alias("sketch"))
+    return g.select("feature", "n", "mean", (F.col("_v") * F.col("n")).alias("m2"), "sketch")
+
+
+def merge_profiles(profiles: DataFrame) -> DataFrame:
+    """One profile from the profiles of parts, in any order."""
+    all_ = profiles.groupBy("feature").agg((F.sum(F.col("n") * F.col("mean")) / F.sum("n")).alias("_m"))
+    j = profiles.join(F.broadcast(all_), "feature")                              # a row per column
+    return j.groupBy("feature").agg(F.sum("n").alias("n"), F.first("_m").alias("mean"),
+                                    F.sum(F.col("m2") + F.col("n") * F.pow(F.col("mean") - F.col("_m"), F.lit(2))).alias("m2"),
+                                    F.kll_merge_agg_double("sketch", SKETCH_K).alias("sketch"))
+
+
+def drift_from_profiles(baseline: DataFrame, current: DataFrame, bins: int = 10, points: int = 100, grid: int = 1000, eps: float = 1e-6) -> DataFrame:
+    """Drift from two profiles alone: mean shift, PSI over the baseline's bins, and the largest
+    difference of the two distribution functions with its error bound. No data row is read;
+    ranks come from ``grid`` quantiles of each sketch."""
+    ranks = F.array(*[F.lit(i / grid) for i in range(1, grid + 1)])
+    grids = lambda s: F.kll_sketch_get_quantile_double(s, ranks)
+    b = baseline.select("feature", F.col("n").alias("bn"), F.col("mean").alias("baseline_mean"), F.col("m2").alias("bm2"), grids("sketch").alias("bg"))
+    c = current.select("feature", F.col("mean").alias("current_mean"), grids("sketch").alias("cg"))
+    j = b.join(c, "feature")
+    some = lambda g, n: F.transform(F.sequence(F.lit(1), F.lit(n - 1)), lambda i: F.get(F.col(g), (i * grid / n).cast("int") - 1))
+    share = lambda g, x: F.size(F.filter(g, lambda v: v <= x)) / float(grid)
+    j = j.withColumn("_e", some("bg", bins)).withColumn("_at", F.array_distinct(F.concat(some("bg", points), some("cg", points))))
+    j = j.withColumns({"_rb": F.transform("_e", lambda x: share("bg", x)), "_rc": F.transform("_e", lambda x: share("cg", x))})
+    ends = lambda r: F.concat(F.array(F.lit(0.0)), F.col(r), F.array(F.lit(1.0)))
+    j = j.withColumns({"_rb": ends("_rb"), "_rc": ends("_rc")})
+    i = F.sequence(F.lit(1), F.lit(bins))
+    step = lambda r, k: F.get(F.col(r), k) - F.get(F.col(r), k - 1)
+    psi = F.aggregate(F.transform(i, lambda k: _psi(step("_rc", k), step("_rb", k), eps)), F.lit(0.0), lambda a, x: a + x)
+    ks = F.array_max(F.transform("_at", lambda x: F.abs(share("bg", x) - share("cg", x))))
+    std = F.sqrt(F.try_divide(F.col("bm2"), F.col("bn") - 1))
+    return j.select("feature", "baseline_mean", std.alias("baseline_std"), "current_mean",
+                    F.try_divide(F.col("current_mean") - F.col("baseline_mean"), std).alias("mean_shift_std"), psi.alias("psi"),
+                    ks.alias("ks"), F.lit(2 * (SKETCH_RANK_ERROR + 1.0 / grid) + 1.0 / points).alias("ks_error"))
 
 
 def sample_fraction(df: DataFrame, key: str, fraction: float = 0.1) -> DataFrame:

@@ -11,6 +11,7 @@ from propel.operators import reports as rp
 from propel.operators import validation as vd
 from propel.plans.q_decisions import S, on_profile, profile, seg_by_score_sql
 from propel.plans.q_features import AS_OF, RFM_MATRIX_STAGED_SQL
+from propel.session import unique_dir
 from propel.plans.registry import AS_OF_EVENTS, DAYS, R, query
 from propel.sources.tables import BASE_TABLES
 
@@ -336,6 +337,16 @@ def q_drift_vs_baseline(t):
     return vd.drift_vs_baseline(base, cur, DRIFT_COLS_RFM)
 
 
+@query("drift_profile")
+def q_drift_profile(t):
+    """The baseline's profile is stored; the check reads profiles only."""
+    tr = t.transactions()
+    base = ft.rfm_agg(tr.where(F.col("transaction_date") < F.lit(DRIFT_BASE_AS_OF).cast("timestamp_ntz")), DRIFT_BASE_AS_OF)
+    path = unique_dir(t.spark, "drift-profile")
+    vd.drift_profile(base, DRIFT_COLS_RFM).write.parquet(path)
+    return vd.drift_from_profiles(t.spark.read.parquet(path), vd.drift_profile(ft.rfm_agg(tr, AS_OF), DRIFT_COLS_RFM))
+
+
 @query("sample_fraction", """
 SELECT customer_id, name FROM customers
 WHERE ('0x' || md5(CAST(customer_id AS VARCHAR)))::UHUGEINT % 100 < 10""")
