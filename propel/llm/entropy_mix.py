@@ -74,10 +74,11 @@ def solve(hist: DataFrame, tgt: DataFrame, cap: float = 2.0, rounds: int = 60, t
 def mix(docs: DataFrame, source_col="source", text_col="text", weights=(5.0, 2.0, 1.0), share=1.5, cap=2.0,
         keep: list[str] | None = None) -> DataFrame:
     """The columns ``keep`` (all by default) plus __size, __source_size, __target, __copies (0..cap)."""
-    d = cut(docs.select(F.struct(*[F.col(f"`{c}`") for c in (docs.columns if keep is None else keep)]).alias("doc"),
+    rows = cut(docs.select(F.monotonically_increasing_id().alias("rid"), F.struct(*[F.col(f"`{c}`") for c in (docs.columns if keep is None else keep)]).alias("doc"),
                         F.col(f"`{source_col}`").alias("s"),
                         F.regexp_count(F.coalesce(F.col(f"`{text_col}`"), F.lit("")), F.lit(WORD)).cast("long").alias("size"),
                         F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]).alias("h")), "mix-rows")
+    d = rows.select("rid", "s", "size", "h")           # copies are settled on these; the documents move once, at the end
     hist = cut(d.groupBy(F.col("s").alias("source"), "size").agg(F.count(F.lit(1)).alias("n")), "mix-hist")
     tot = hist.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"))
     tgt = targets(tot, weights, share, cap)
@@ -104,5 +105,6 @@ def mix(docs: DataFrame, source_col="source", text_col="text", weights=(5.0, 2.0
     d = d.join(counts, F.expr("s <=> s3 AND size = z3 AND b = b3"))
     rank = F.row_number().over(Window.partitionBy(*key).orderBy("h"))
     copies = F.floor(F.col("cb") / F.col("nbk")) + (rank <= F.col("cb") % F.col("nbk")).cast("long")
-    return d.withColumn("__copies", copies).select("doc.*", F.col("size").alias("__size"), F.col("source_size").alias("__source_size"),
-                                                   F.col("target").alias("__target"), "__copies")
+    settled = d.select("rid", copies.alias("__copies"), "source_size", "target")
+    return rows.select("rid", "doc", "size").join(settled, "rid").select(
+        "doc.*", F.col("size").alias("__size"), F.col("source_size").alias("__source_size"), F.col("target").alias("__target"), "__copies")
