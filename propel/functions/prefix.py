@@ -1,11 +1,10 @@
 """Running totals over a global order without a single-partition window.
 
 A ``Window.orderBy(x)`` with no partition key moves every row into one task.
-Instead rows are cut into range buckets by approximate quantiles of the
-order key (balanced however the keys are skewed), running sums are taken
-inside each bucket in parallel, and the bucket totals -- at most ``buckets``
-rows, so their broadcast is bounded by a parameter, not by the data -- are
-prefixed and added back.
+Instead rows are dealt into ranges of the whole order tuple (so equal leading
+keys are split too), as many as the row count asks for, and written once. Running sums
+are taken inside each range in parallel, and the totals of the ranges, one row
+each, are prefixed and added back.
 """
 
 from __future__ import annotations
@@ -15,37 +14,38 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+#: rows per range that a task sorts and sums
+ROWS_PER_RANGE = 1_000_000
+#: ranges up to which their totals are broadcast
+BROADCAST_RANGES = 1 << 16
 
-def range_bucket(df: DataFrame, order_col: str, buckets: int = 256, out: str = "_bucket") -> DataFrame:
-    """Add an order-preserving bucket id in [0, buckets] from approximate quantiles."""
-    qs = [i / buckets for i in range(1, buckets)]
-    key = F.col(order_col)
-    is_ts = dict(df.dtypes)[order_col].startswith("timestamp") or dict(df.dtypes)[order_col] == "date"
-    num = F.unix_micros(key.cast("timestamp")).cast("double") if is_ts else key.cast("double")
-    b = df.select(num.alias("_k")).agg(F.percentile_approx("_k", qs, 10000).alias("_bounds"))
-    j = df.crossJoin(F.broadcast(b)).withColumn("_knum", num)
-    j = j.withColumn(out, F.size(F.filter("_bounds", lambda x: x <= F.col("_knum"))))
-    return j.drop("_bounds", "_knum")
 
+def ranges(df: DataFrame, order: Sequence[str], buckets: int | None = None, out: str = "_bucket") -> tuple[DataFrame, int]:
+    """``df`` plus the order-preserving number of its range of ``order``, written once; and how many there are."""
+    from propel.session import materialize
+    if buckets is None:
+        # the count decides how many ranges there are; at least one per core
+        buckets = max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // ROWS_PER_RANGE))
+    return materialize(df.repartitionByRange(buckets, *[F.col(c) for c in order]).withColumn(out, F.spark_partition_id())), buckets
 
-def running_sums(df: DataFrame, order: Sequence[str], values: Sequence[str], buckets: int = 256,
+
+def running_sums(df: DataFrame, order: Sequence[str], values: Sequence[str], buckets: int | None = None,
                  inclusive: bool = True, prefix: str = "cum_", group: Sequence[str] = ()) -> DataFrame:
     """Add ``cum_<v>`` = sum of v over all rows ordered before (and, if inclusive,
     including) each row under the total order ``order`` (make it unique),
     separately per ``group`` when given."""
     g = list(group)
-    b = range_bucket(df, order[0], buckets)
+    b, n = ranges(df, [*order, *g], buckets)
     w = Window.partitionBy(*g, "_bucket").orderBy(*order)
     frame = w.rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
-    for v in values:
-        b = b.withColumn(f"_in_{v}", F.coalesce(F.sum(v).over(frame), F.lit(0)))
     tot = b.groupBy(*g, "_bucket").agg(*[F.sum(v).alias(f"_t_{v}") for v in values])
-    # at most buckets + 1 rows per group: the window over them is tiny
+    # one row per range (and group): the window over them is small
     wt = Window.partitionBy(*g).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     tot = tot.select(*g, "_bucket", *[F.coalesce(F.sum(f"_t_{v}").over(wt), F.lit(0)).alias(f"_off_{v}")
                                       for v in values])
-    # without groups the totals table is bounded by ``buckets``: broadcast it
-    j = b.join(F.broadcast(tot) if not g else tot, [*g, "_bucket"])
+    for v in values:
+        b = b.withColumn(f"_in_{v}", F.coalesce(F.sum(v).over(frame), F.lit(0)))
+    j = b.join(F.broadcast(tot) if not g and n <= BROADCAST_RANGES else tot, [*g, "_bucket"])
     for v in values:
         j = j.withColumn(f"{prefix}{v}", F.col(f"_in_{v}") + F.col(f"_off_{v}"))
     return j.drop("_bucket", *[f"_in_{v}" for v in values], *[f"_off_{v}" for v in values])

@@ -20,7 +20,7 @@ from propel.functions.prefix import running_sums
 
 
 def exact_quantiles(df: DataFrame, col: str, qs: Sequence[float], group: Sequence[str] = (),
-                    buckets: int = 256) -> DataFrame:
+                    buckets: int | None = None) -> DataFrame:
     """One row (per group) with columns q0..q{len(qs)-1}; NULL on empty input."""
     g = list(group)
     v = (df.where(F.col(col).isNotNull()).select(*g, F.col(col).cast("double").alias("_v"))

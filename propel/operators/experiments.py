@@ -64,7 +64,7 @@ def classification_report(counts: DataFrame) -> DataFrame:
         r1.alias("sensitivity"), r0.alias("specificity"))
 
 
-def auc_roc(df: DataFrame, label: str = "label", score: str = "score", buckets: int = 256) -> DataFrame:
+def auc_roc(df: DataFrame, label: str = "label", score: str = "score", buckets: int | None = None) -> DataFrame:
     """One row: rank AUC with tied scores counted half (NULL when a class is absent)."""
     by_score = (df.where(F.col(score).isNotNull() & F.col(label).isNotNull())
                 .groupBy(F.col(score).cast("double").alias("_s"))

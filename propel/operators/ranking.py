@@ -91,7 +91,7 @@ def agent_queue(agents: DataFrame, assignments: DataFrame, profile: DataFrame, k
 
 
 def running_count_trigger(df: DataFrame, order: Sequence[str], threshold: int = 10,
-                          buckets: int = 256) -> DataFrame:
+                          buckets: int | None = None) -> DataFrame:
     """Cumulative row count under a global order; flag from the threshold-th row on."""
     x = df.withColumn("_one", F.lit(1).cast("long"))
     r = prefix.running_sums(x, order, ["_one"], buckets=buckets)

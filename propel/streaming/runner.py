@@ -79,7 +79,7 @@ def feedback_stream_trigger(spark: SparkSession, stream: DataFrame, out_path: st
                     .agg(F.max_by("total", "epoch")).first()[0])
             prev = int(last or 0)
         b = batch.select(*order).withColumn("_one", F.lit(1).cast("long"))
-        r = running_sums(b, list(order), ["_one"], buckets=64)
+        r = running_sums(b, list(order), ["_one"])
         out = (r.withColumn("running_count", F.col("cum__one") + F.lit(prev))
                .withColumn("retrain_triggered", F.col("running_count") >= threshold)
                .drop("_one", "cum__one").withColumn("epoch", F.lit(epoch_id)))

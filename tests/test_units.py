@@ -337,3 +337,16 @@ def test_yearly_keys_take_their_years_from_the_data(spark, tmp_path):
         df = E.queries()[key](spark, str(tmp_path))
         assert [c for c in df.columns if c[0] == "y"] == [f"y{y}" for y in years]
         assert df.agg(F.sum(sum(F.col(f"y{y}") for y in years))).first()[0] == dated.count()
+
+
+def test_ranges_split_ties_evenly(spark):
+    """Nine tenths of the rows share one time: no range above twice the mean, sums exact."""
+    from propel.functions.prefix import ranges
+    rows = [(i, 5 if i % 10 else i) for i in range(20_000)]
+    df = spark.createDataFrame(rows, "id long, k long").withColumn("one", F.lit(1).cast("long")).repartition(6)
+    b, n = ranges(df, ["k", "id"], 16)
+    sizes = [r["count"] for r in b.groupBy("_bucket").count().collect()]
+    assert n == 16 and len(sizes) == 16 and max(sizes) <= 2 * sum(sizes) / 16
+    got = {r.id: r.cum_one for r in running_sums(df, ["k", "id"], ["one"], buckets=16).collect()}
+    want = {i: at + 1 for at, (_, i) in enumerate(sorted((k, i) for i, k in rows))}
+    assert got == want
