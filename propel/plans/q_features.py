@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from propel.operators import chunks as ck
 from propel.operators import features as ft
+from propel.session import unique_dir
 from propel.plans.registry import AS_OF_CUSTOMER, DAYS, R, TS, query
 
 # Category patterns for the driver's part names (FIXTURES.md); the reference's
@@ -53,16 +55,27 @@ def q_rating_features(t):
     return ft.rating_features(t.ratings())
 
 
-@query("user_rating_agg", f"""
+USER_RATING_SQL = f"""
 SELECT user_id, count(movie_id) AS total_ratings, count(DISTINCT movie_id) AS unique_movies,
        {R('avg(rating)', 'mean_rating')}, {R('stddev_samp(rating)', 'std_rating')},
        min(rating) AS min_rating, max(rating) AS max_rating,
        {TS('min(date)', 'first_rating_date')}, {TS('max(date)', 'last_rating_date')}
-FROM ratings GROUP BY user_id""")
+FROM ratings GROUP BY user_id"""
+
+
+@query("user_rating_agg", USER_RATING_SQL)
 def q_user_rating_agg(t):
     return ft.user_rating_agg(t.ratings())
 
 
+@query("user_rating_chunks", USER_RATING_SQL)
+def q_user_rating_chunks(t):
+    """The same from stored states of one chunk per year (users span chunks)."""
+    path = unique_dir(t.spark, "user-ratings")
+    ck.write_chunks(t.ratings().withColumn("chunk", F.year("date")), path)
+    return ck.read_merged(t.spark, path)
+
+
 @query("rating_distribution", f"""
 SELECT user_id,
   {R('count_if(rating = 5) / count(rating) * 100', 'rating_5star_pct')},
