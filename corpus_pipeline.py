@@ -51,10 +51,14 @@ def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [("toxicity", drop_toxic), ("near-duplicates", drop_near_copies), ("decontamination", drop_benchmark),
           ("mixing", mix_sources), ("sharding", shard)]
 ORACLE_SQL = None
+#: rows per Arrow batch: whole texts and sets travel in them, so ten thousand would be hundreds of MB
+BATCH_ROWS = 1000
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each stage's rows are written and read again."""
+    """All stages over documents; each stage's rows are written and read again. Sets the session's
+    rows per Arrow batch."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for i, (name, f) in enumerate(STAGES):
         docs = f(spark, docs, sf_dir)
