@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,14 +15,27 @@ from propel.llm import toxicity as tx
 from propel.llm.common import cut
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: rows per Arrow batch: whole texts and sets travel in them, so ten thousand would be hundreds of MB
+BATCH_ROWS = 1000
+
 
+def small_batches(stage):
+    """``stage`` with the session's rows per Arrow batch set to BATCH_ROWS."""
+    @wraps(stage)
+    def run(spark, docs, sf_dir):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+        return stage(spark, docs, sf_dir)
+    return run
 
+
+@small_batches
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go."""
     w = tx.fit(tx.training_rows(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
     return tx.score(docs, w).where("__score < 0.5").drop("__score")
 
 
+@small_batches
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group stays, that of the smallest doc_id (five words, 0.8). Rows are told
     apart by a number written once, as doc_ids may be null or stand in several rows."""
@@ -32,17 +47,20 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return rows.join(gone, "__row", "left_anti").select(*docs.columns)
 
 
+@small_batches
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go."""
     return dc.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+@small_batches
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it."""
     d = em.mix(docs).withColumn("__i", F.explode(F.expr("array_repeat(0, CAST(__copies AS INT))")))
     return d.select(*docs.columns)
 
 
+@small_batches
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Uniform shuffle into 16 shards."""
     return sh.shard_rows(docs, 16)
@@ -51,14 +69,10 @@ def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [("toxicity", drop_toxic), ("near-duplicates", drop_near_copies), ("decontamination", drop_benchmark),
           ("mixing", mix_sources), ("sharding", shard)]
 ORACLE_SQL = None
-#: rows per Arrow batch: whole texts and sets travel in them, so ten thousand would be hundreds of MB
-BATCH_ROWS = 1000
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each stage's rows are written and read again. Sets the session's
-    rows per Arrow batch."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    """All stages over documents; each stage's rows are written and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for i, (name, f) in enumerate(STAGES):
         docs = f(spark, docs, sf_dir)
