@@ -12,19 +12,28 @@ from propel.llm import entropy_mix as em
 from propel.llm import near_dedup as nd
 from propel.llm import shard as sh
 from propel.llm import toxicity as tx
-from propel.llm.common import cut
+from propel.llm.common import WRITTEN, cut, release
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: rows per Arrow batch: whole texts and sets travel in them, so ten thousand would be hundreds of MB
 BATCH_ROWS = 1000
+#: tables that the last stage left
+LEFT: list[str] = []
 
 
 def small_batches(stage):
-    """``stage`` with the session's rows per Arrow batch set to BATCH_ROWS."""
+    """``stage`` with the session's rows per Arrow batch set to BATCH_ROWS. Tables that the stage
+    before it left are deleted first: their output is written when the next stage starts."""
     @wraps(stage)
     def run(spark, docs, sf_dir):
+        if stage is not drop_toxic.__wrapped__:
+            release(spark, LEFT)
+        LEFT.clear()
+        first = len(WRITTEN)
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-        return stage(spark, docs, sf_dir)
+        out = stage(spark, docs, sf_dir)
+        LEFT.extend(WRITTEN[first:])
+        return out
     return run
 
 
