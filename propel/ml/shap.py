@@ -4,8 +4,8 @@ Each leaf is a path: per feature on it, the range of bins that reaches the leaf
 share of the training weight that does (the product of the shares of its splits). A
 feature inside its range counts 1, one left out of a coalition counts its share. With
 m features on a path, the weights |S|! (m - |S| - 1)! / m! come from the coefficients of the
-polynomial prod(share + inside * t) of the other features, built per pattern of
-features inside, of which a batch of rows shows few. Contributions add up to
+polynomial prod(share + inside * t) of the other features, built once per pattern of
+features inside (a path of m features has 2^m); a row looks its pattern up. Contributions add up to
 the margin less the base value (the mean margin over the training weight).
 """
 
@@ -22,6 +22,9 @@ from pyspark.sql.types import StructType
 
 from propel.ml import boosting as gb
 
+#: features of a path up to which all its patterns are worked out before the rows
+TABLE_FEATURES = 8
+
 
 def leaf_paths(tree: gb.Tree) -> list:
     """(value, share of the weight, features, first bins, last bins, shares) per leaf."""
@@ -63,30 +66,51 @@ def base_value(model: gb.Model) -> float:
     return model.base + sum(v * s for t in model.trees for v, s, *_ in leaf_paths(t))
 
 
-def contributions(paths: list, bins: np.ndarray, n_features: int) -> np.ndarray:
-    """(rows, features) over all leaves."""
-    out = np.zeros((len(bins), n_features))
-    for value, _, fs, lo, hi, share in paths:
+def tables(paths: list) -> list:
+    """Per path the contributions by pattern of features inside, (features, patterns); None for a path of many features."""
+    out = []
+    for value, _, fs, _, _, share in paths:
+        m = len(fs)
+        every = ((np.arange(1 << m)[:, None] >> np.arange(m)) & 1).astype(float) if 0 < m <= TABLE_FEATURES else None
+        out.append(None if every is None else np.ascontiguousarray((value * weights(every, share)).T))
+    return out
+
+
+def contributions(paths: list, bins: np.ndarray, n_features: int, known: list | None = None) -> np.ndarray:
+    """(rows, features) over all leaves; ``known``: the paths' :func:`tables`."""
+    cols = np.ascontiguousarray(bins.T, np.uint8)
+    out = np.zeros((n_features, len(bins)))
+    for (value, _, fs, lo, hi, share), table in zip(paths, known or tables(paths)):
         if not len(fs) or not len(bins):
             continue
-        inside = (bins[:, fs] >= lo) & (bins[:, fs] <= hi)
-        code = inside @ (1 << np.arange(len(fs)))
-        seen, which = np.unique(code, return_inverse=True)
-        pattern = ((seen[:, None] >> np.arange(len(fs))) & 1).astype(float)
-        out[:, fs] += (value * weights(pattern, share))[which]
-    return out
+        if table is None:
+            inside = (bins[:, fs] >= lo) & (bins[:, fs] <= hi)
+            seen, which = np.unique(inside, axis=0, return_inverse=True)
+            out[fs] += (value * weights(seen.astype(float), share))[which.ravel()].T
+            continue
+        code = np.zeros(len(bins), np.uint8)
+        for j, f in enumerate(fs):
+            inside = cols[f] <= np.uint8(min(hi[j], 255))
+            if lo[j]:
+                inside &= cols[f] >= np.uint8(lo[j])
+            code |= inside.view(np.uint8) << np.uint8(j)
+        at = code.astype(np.intp)
+        for j, f in enumerate(fs):
+            out[f] += table[j].take(at)
+    return np.ascontiguousarray(out.T)
 
 
 def attributions(df: DataFrame, model: gb.Model, keep: Sequence[str]) -> DataFrame:
     """``keep`` columns of every row plus base, margin and contributions (array of feature, value)."""
-    bc = df.sparkSession.sparkContext.broadcast((model, [p for t in model.trees for p in leaf_paths(t)], base_value(model)))
+    every = [p for t in model.trees for p in leaf_paths(t)]
+    bc = df.sparkSession.sparkContext.broadcast((model, every, tables(every), base_value(model)))
     names = model.features
 
     def run(batches):
-        m, paths, base = bc.value
+        m, paths, known, base = bc.value
         for b in batches:
-            bins = gb.bin_matrix([gb._numbers(c) for c in b.columns[1:]], m.edges).astype(np.int64)
-            phi = contributions(paths, bins, len(names))
+            bins = gb.bin_matrix([gb._numbers(c) for c in b.columns[1:]], m.edges)
+            phi = contributions(paths, bins, len(names), known)
             items = pa.StructArray.from_arrays([pa.array(np.tile(np.array(names, object), len(bins)), pa.string()), pa.array(phi.ravel())], ["feature", "value"])
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(bins) + 1) * len(names), pa.int32()), items)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.full(len(bins), base)), pa.array(m.margins(bins)), lists], ["row", "base", "margin", "contributions"])
