@@ -51,39 +51,55 @@ def alert_sustained_stream(evals: DataFrame, rule: str = "rule", at: str = "wind
 
 
 def metrics_absent_stream(events: DataFrame, source: str = "client", ts_col: str = "ts",
-                          gap_seconds: float = 600.0) -> DataFrame:
+                          gap_seconds: float = 600.0, buckets: int = 1024) -> DataFrame:
     """Per-source state (time of the last event): each new event that comes more
     than ``gap_seconds`` after the previous one closes a silence row. With a
     watermark on ``ts_col``, a source still silent when the watermark passes
     ``last + gap`` emits an open row (``silent_until`` NULL) through an
-    event-time timeout."""
+    event-time timeout.
+
+    The sources of a hash bucket share one state (two sorted columns: source, last
+    event), so a micro-batch costs one call per bucket, not one per source."""
     gap_us = int(gap_seconds * 1e6)
     t_col = F.col(ts_col) if dict(events.dtypes)[ts_col] == "timestamp" else ts(ts_col)  # keep the watermark
-    x = events.select(F.col(source).alias("source"), t_col.alias("t"))
+    s = F.col(source).cast("bigint")
+    x = events.select(F.when(s.isNull(), F.lit(-1)).otherwise(F.pmod(F.xxhash64(s), F.lit(buckets))).cast("int").alias("bucket"),
+                      F.coalesce(s, F.lit(0)).alias("source"), t_col.alias("t")).where(F.col("t").isNotNull())
     out_schema = "source bigint, silent_from timestamp, silent_until timestamp, gap_seconds double"
 
     def fn(k, pdfs, state: GroupState):
-        if state.hasTimedOut:
-            last = state.get[0]
-            state.remove()
-            yield pd.DataFrame({"source": [k[0]], "silent_from": pd.to_datetime([last], unit="us"),
-                                "silent_until": pd.to_datetime([None]), "gap_seconds": [None]})
-            return
-        last = state.get[0] if state.exists else None
-        rows = []
-        for pdf in pdfs:
-            for ti in np.sort(_micros(pdf["t"])):
-                if last is not None and ti - last > gap_us:
-                    rows.append((k[0], last, ti, (ti - last) / 1e6))
-                last = ti if last is None else max(last, ti)
-        state.update((int(last),))
+        old, last = (np.frombuffer(v, np.int64) for v in state.get) if state.exists else (np.zeros(0, np.int64),) * 2
+        got = [] if state.hasTimedOut else [(p["source"].to_numpy(np.int64), _micros(p["t"])) for p in pdfs]
+        src, t = (np.concatenate([np.zeros(0, np.int64), *v]) for v in (zip(*got) if got else ((), ())))
+        at = np.minimum(np.searchsorted(old, src), max(len(old) - 1, 0))
+        seen = old[at] == src if len(old) else np.zeros(len(src), bool)
+        if len(old):
+            t = np.where(seen, np.maximum(t, last[at]), t)       # an event before the last one changes nothing
+        met = np.isin(old, src)
+        src, t = np.append(old[met], src), np.append(last[met], t)
+        order = np.lexsort((t, src))
+        src, t = src[order], t[order]
+        gap = np.flatnonzero((src[1:] == src[:-1]) & (t[1:] - t[:-1] > gap_us))
+        ends = np.flatnonzero(np.append(src[1:] != src[:-1], True)) if len(src) else np.zeros(0, np.int64)
         try:
-            state.setTimeoutTimestamp(int(last // 1000) + int(gap_us // 1000))
+            now = state.getCurrentWatermarkMs()
         except Exception:  # no watermark on the input: gaps are emitted on the next event only
-            pass
-        if rows:
-            f, u, g = zip(*[(r[1], r[2], r[3]) for r in rows])
-            yield pd.DataFrame({"source": [r[0] for r in rows], "silent_from": pd.to_datetime(list(f), unit="us"),
-                                "silent_until": pd.to_datetime(list(u), unit="us"), "gap_seconds": list(g)})
-    return x.groupBy("source").applyInPandasWithState(fn, out_schema, "last bigint", "append",
+            now = None
+        gone = ~met & (last // 1000 + gap_us // 1000 < now) if now is not None else np.zeros(len(old), bool)
+        keep = ~met & ~gone
+        src_now, t_now = np.append(old[keep], src[ends]), np.append(last[keep], t[ends])
+        if len(src_now):
+            order = np.argsort(src_now)
+            state.update((src_now[order].tobytes(), t_now[order].tobytes()))
+            if now is not None:
+                state.setTimeoutTimestamp(max(int(t_now.min() // 1000) + gap_us // 1000, now + 1))
+        else:
+            state.remove()
+        n = len(gap) + int(gone.sum())
+        if n:
+            until = np.append(t[gap + 1].astype("datetime64[us]"), np.full(n - len(gap), np.datetime64("NaT", "us")))
+            yield pd.DataFrame({"source": [None] * n if k[0] < 0 else np.append(src[gap], old[gone]),
+                                "silent_from": np.append(t[gap], last[gone]).astype("datetime64[us]"), "silent_until": until,
+                                "gap_seconds": np.append((t[gap + 1] - t[gap]) / 1e6, np.full(n - len(gap), np.nan))})
+    return x.groupBy("bucket").applyInPandasWithState(fn, out_schema, "source binary, last binary", "append",
                                                       GroupStateTimeout.EventTimeTimeout)
