@@ -44,3 +44,69 @@ def test_importance_without_an_active_session(spark):
     t.start()
     t.join()
     assert len(got) == 6 and abs(sum(r.importance for r in got) - 1) < 1e-9
+
+
+def some_rows(n=6000, seed=4):
+    rng = np.random.default_rng(seed)
+    sizes = [40, 64, 5, 2, 64, 2, 17]
+    bins = np.stack([rng.integers(0, k, n) for k in sizes], axis=1).astype(np.uint8)
+    y = (bins[:, 0] + bins[:, 1] * bins[:, 3] + rng.normal(0, 9, n) > 45).astype(np.int64)
+    return sizes, (bins, y, rng.integers(-2**62, 2**62, n), rng.integers(0, 100, n), rng.integers(0, 100, n))
+
+
+def test_rows_dealt_to_processes_give_the_same_model():
+    sizes, data = some_rows()
+    edges = [np.arange(k - 1.0) for k in sizes]
+    for depth, rounds in ((1, 3), (6, 8)):
+        spec = gb.Spec(n_estimators=rounds, max_depth=depth, learning_rate=0.3, valid=tuple(range(20)))
+        one, three, many = (gb.grow_alone(gb.Model(spec, list("abcdefg"), edges), *data, rounds, hands) for hands in (1, 3, 9))
+        for m in (three, many):                                 # 9: more processes than features
+            assert m.trees == one.trees and m.losses == one.losses and m.base == one.base
+
+
+def test_a_process_that_fails_ends_the_model():
+    import pytest
+    sizes, (bins, y, key, a, b) = some_rows(3000)
+    bins[2900:] = 200                                           # no such bins: sums of the last process fail
+    m = gb.Model(gb.Spec(n_estimators=2, max_depth=2), list("abcdefg"), [np.arange(k - 1.0) for k in sizes])
+    with pytest.raises((EOFError, OSError)):
+        gb.grow_alone(m, bins, y, key, a, b, 2, 3)
+
+
+def test_cores_are_dealt_by_the_levels_to_come():
+    models = [gb.Model(gb.Spec(n_estimators=n, max_depth=d), ["x"], [np.zeros(1)]) for n, d in ((400, 9), (400, 3))]
+    assert gb.deal_hands(models, 500, 10**8, 8, 8) == [6, 2]
+    assert gb.deal_hands(models[:1], 500, 10**8, 8, 8) == [8]
+    assert gb.deal_hands(models, 500, 10**8, 6, 2) == [2, 2]    # no more than an executor has
+    assert gb.deal_hands(models, 500, 1000, 8, 8) == [1, 1]     # a small table is not dealt
+    assert gb.deal_hands(models * 5, 500, 10**8, 4, 4) == [1] * 10
+
+
+def test_features_of_a_team_share_a_table(monkeypatch):
+    sizes, (bins, y, *_) = some_rows(50000)
+    rng, met = np.random.default_rng(1), []
+    g, h, slot = rng.integers(-999, 999, len(y)).astype(float), rng.integers(0, 99, len(y)).astype(float), rng.integers(-1, 4, len(y))
+    cols = np.array([0, 1, 2, 4, 6])
+    teams = gb.Codes.teams
+
+    def counted(self, *args):
+        met.append(len(teams(self, *args)[0]))
+        return teams(self, *args)
+    monkeypatch.setattr(gb.Codes, "teams", counted)
+    got = gb.histogram(bins, g, h, slot, 4, 64, cols, sizes)
+    assert max(met) < 5                                         # a row was added once for each feature
+    for s in range(4):
+        for j, f in enumerate(cols):
+            for i, v in enumerate((g, h)):
+                assert (got[i, s, j] == np.bincount(bins[slot == s, f], v[slot == s], 64)).all()
+
+
+def test_trials_and_refit_share_one_binned_table(spark, monkeypatch):
+    rows = [(i, float(i % 37), float(i * i % 101), int(i % 37 + i * i % 101 > 60)) for i in range(3000)]
+    df = spark.createDataFrame(rows, "user_id long, x0 double, x1 double, target int").cache()
+    made, scored, binned, aucs = [], [], gb.binned, ml.aucs
+    monkeypatch.setattr(gb, "binned", lambda *a, **k: made.append(1) or binned(*a, **k))
+    monkeypatch.setattr(ml, "aucs", lambda models, *a: scored.append(len(models)) or aucs(models, *a))
+    t = ml.tune_params(df, ["x0", "x1"], n_trials=3, generation=3, first_rung=4, ranges={**ml.TUNE_RANGES, "n_estimators": (6, 9)}).collect()
+    assert len(t) == 3 and len(made) == 1
+    assert scored == [3, 2, 1]                                  # all at the rung, the two that grew on, the refit
